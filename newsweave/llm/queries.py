@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import boilerplate, history, leaks, lookalikes, markup, mixture, nearcopies
-from newsweave.session import spread, table
+from newsweave.llm import abuse, boilerplate, history, leaks, lookalikes, markup, mixture, nearcopies, subjects
+from newsweave.session import spread, table, written
 
 FIELDS = ["summary", "full_text"]
 
@@ -75,8 +75,6 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
     docs = mixture.token_counts(spread(table(spark, d, "documents").select("doc_id", "source", "text"))).drop("text")
-    from newsweave.session import written
-
     return mixture.mix(written(docs), table(spark, d, "mix_targets"))
 
 
@@ -88,10 +86,40 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.report(_mixed(spark, d), table(spark, d, "mix_targets"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.row_subjects(table(spark, d, "nos_articles"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
+def p6_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per subject and their share of all rows; a row of two subjects counts in both."""
+    df = table(spark, d, "nos_articles")
+    n = F.lit(df.count())
+    return p6_found(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.round(F.col("n") / n, 6))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    model = abuse.train(*abuse.labelled(docs, table(spark, d, "review_labels")))
+    return abuse.scores(docs, model, keep=("source",))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.flagged(_scored(spark, d))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(_scored(spark, d))
+
+
 def queries() -> dict:
     fs = [
         p1_found, p1_accepted, p2_found, p2_main_content, p3_found, p3_style_tree, p3_clean, p5_found, p5_groups,
-        p7_found, p7_consistent, p8_found, p8_items, p9_mix, p9_shares,
+        p6_found, p6_corpus, p7_found, p7_consistent, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_scores,
+        p10_sources,
     ]
     return {f.__name__: f for f in fs}
 
