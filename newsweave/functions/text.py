@@ -57,14 +57,12 @@ def without_stopwords(ts: Column, stop: list[str] = STOPWORDS) -> Column:
 
 def ngrams(ts: Column, lo: int, hi: int) -> Column:
     """All runs of lo to hi tokens, in order of length and place."""
-    parts = [
-        F.transform(
-            F.filter(F.sequence(F.lit(1), F.greatest(F.size(ts) - (n - 1), F.lit(1))), lambda i: F.size(ts) >= i + (n - 1)),
-            lambda i, n=n: F.array_join(F.slice(ts, i, n), " "),
-        )
-        for n in range(lo, hi + 1)
-    ]
-    return F.concat(*parts)
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size(ts) >= n, F.sequence(F.lit(1), F.greatest(F.size(ts) - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(ts, i, n), " "))
+
+    return F.concat(*[of(n) for n in range(lo, hi + 1)])
 
 
 def token_clean(c: Column) -> Column:

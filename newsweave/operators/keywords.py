@@ -37,7 +37,7 @@ def top_terms(weights: DataFrame, key: str, k: int = 10, digits: int = 9) -> Dat
 
 
 def global_top(top: DataFrame, k: int = 20) -> DataFrame:
-    s = top.groupBy("term").agg(F.round(F.sum("w"), 4).alias("score"), F.count(F.lit(1)).alias("mentions"))
+    s = top.groupBy("term").agg(F.round(F.sum("w"), 6).alias("score"), F.count(F.lit(1)).alias("mentions"))
     return s.orderBy(F.desc("score"), F.desc("mentions"), "term").limit(k)
 
 
@@ -51,7 +51,8 @@ def trend(mentions: DataFrame, word: str, month: str, focus: list[str] | None =
     grid = per.select(word).distinct().withColumn(month, F.explode(F.array(*map(F.lit, months)))) if months else per.select(word, month)
     full = grid.join(per, [word, month], "left").fillna(0, ["n"])
     total = F.sum("n").over(Window.partitionBy(month))
-    share = F.round(F.col("n") / F.when(total == 0, 1).otherwise(total) * 100, 6)
+    share = F.col("n") / F.when(total == 0, 1).otherwise(total) * 100
     back = Window.partitionBy(word).orderBy(month).rowsBetween(-(max(roll, 1) - 1), 0)
     out = full.withColumn("share", share)
-    return out.withColumns({"rolling": F.round(F.avg("n").over(back), 6), "share_rolling": F.round(F.avg("share").over(back), 6)})
+    out = out.withColumns({"rolling": F.round(F.avg("n").over(back), 6), "share_rolling": F.round(F.avg("share").over(back), 6)})
+    return out.withColumn("share", F.round("share", 6))

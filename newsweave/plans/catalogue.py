@@ -338,7 +338,7 @@ def keyword_global_top20(spark, d):
 
 def keyword_stats(spark, d):
     t = tfidf_top10(spark, d)
-    return t.groupBy("term").agg(F.count(F.lit(1)).alias("mentions"), F.round(F.sum("w"), 4).alias("score"))
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("mentions"), F.round(F.sum("w"), 6).alias("score"))
 
 
 def _mentions(spark, d):
@@ -365,7 +365,7 @@ def text_search(spark, d):
 
 
 def filter_combo(spark, d):
-    spec = FilterSpec(text="de", feeds=["bd", "l3", "rtv_oever"], min_score=0.2, dates=("2025-01-01", "2025-12-31"))
+    spec = FilterSpec(text="de", feeds=["bd", "l3", "rtv_oever"], min_score=0.15, dates=("2025-01-01", "2025-12-31"))
     voted = _voted(spark, d).withColumn("score", weak.fixed_model().posterior()).withColumn("date", dates.rfc822(F.col("published")))
     return spec.apply(voted, ["title", "summary"], feed="feed_key").select("id")
 
@@ -385,7 +385,7 @@ def quick_range(spark, d):
     o = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"))
     hi = o.agg(F.max("day").alias("hi"), F.min("day").alias("lo")).first()
     lo, top = dates.clamp_range((hi.hi - timedelta(days=90), hi.hi), hi.lo, hi.hi)
-    return o.where(F.col("day").between(lo, top)).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    return o.where(F.col("day").between(lo, top)).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def date_bounds(spark, d):
