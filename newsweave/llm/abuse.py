@@ -296,6 +296,8 @@ def scores(docs: DataFrame, model: tuple[dict[str, Machine], dict[int, list[str]
         known: dict[str, str] = {}
         terms: dict[str, int] = {}
         for b in batches:
+            if not len(b):
+                continue
             ids: list[int] = []
             length: list[int] = []
             count: list[int] = []

@@ -147,7 +147,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
                         out.append(r)
             if len(codes) > 500_000:
                 codes.clear()
-            yield pd.DataFrame(out, columns=["doc", "item", "tiles", "longest", "covered", "item_words"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc", "item", "tiles", "longest", "covered", "item_words"])
 
     return d.mapInPandas(scan, _SCHEMA)
 
@@ -162,7 +163,8 @@ def _leaks_by_join(d: DataFrame, it: DataFrame) -> DataFrame:
                 for k, t in zip(b[name], b["text"]):
                     h = np.unique(window_hashes(np.array(_codes(words(t), {}), "u8"), MIN_WORDS)).view("i8")
                     ids.append(np.full(len(h), k)), hs.append(h)
-                yield pd.DataFrame({name: np.concatenate(ids) if ids else [], "seed": np.concatenate(hs) if hs else []}).astype("int64")
+                if ids:
+                    yield pd.DataFrame({name: np.concatenate(ids), "seed": np.concatenate(hs)}).astype("int64")
 
         return f
 
@@ -174,6 +176,7 @@ def _leaks_by_join(d: DataFrame, it: DataFrame) -> DataFrame:
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [r for doc, t, k, i in zip(b["doc"], b["text"], b["item"], b["item_text"]) if (r := _rows(doc, words(t), k, words(i)))]
-            yield pd.DataFrame(out, columns=["doc", "item", "tiles", "longest", "covered", "item_words"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc", "item", "tiles", "longest", "covered", "item_words"])
 
     return full.select("doc", "text", "item", "item_text").mapInPandas(tile, _SCHEMA)
