@@ -98,7 +98,7 @@ class LabelModel:
 
 
 def fit(voted: DataFrame, rules: list[Rule] = RULES, iterations: int = 20, prior: float = 0.5, smooth: float = 1.0) -> LabelModel:
-    """EM from majority votes. At most 3 ** rules distinct patterns exist; in practice a few hundred are collected."""
+    """EM from majority votes with a fixed prior. At most 3 ** rules distinct patterns exist; in practice a few hundred are collected."""
     names = [r.name for r in rules]
     patterns = [tuple(row[n] for n in names) + (row["n"],) for row in voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]
     total = sum(p[-1] for p in patterns)
@@ -111,18 +111,19 @@ def fit(voted: DataFrame, rules: list[Rule] = RULES, iterations: int = 20, prior
     for _ in range(iterations):
         mass1 = sum(p[-1] * x for p, x in zip(patterns, q))
         mass0 = total - mass1
-        pi = min(max((mass1 + smooth) / (total + 2 * smooth), 0.01), 0.99)
         given = []
         for i in range(len(names)):
             g = {}
             for v in (ABSTAIN, NO, YES):
                 a1 = sum(p[-1] * x for p, x in zip(patterns, q) if p[i] == v)
                 a0 = sum(p[-1] * (1 - x) for p, x in zip(patterns, q) if p[i] == v)
-                g[v] = ((a0 + smooth) / (mass0 + 3 * smooth), (a1 + smooth) / (mass1 + 3 * smooth))
+                p0, p1 = (a0 + smooth) / (mass0 + 3 * smooth), (a1 + smooth) / (mass1 + 3 * smooth)
+                # a vote never counts against what it says
+                g[v] = (p0, max(p0, p1)) if v == YES else (max(p0, p1), p1) if v == NO else (p0, p1)
             given.append(g)
         q = []
         for p in patterns:
-            z = math.log(pi / (1 - pi)) + sum(math.log(g[v][1] / g[v][0]) for g, v in zip(given, p[:-1]) if v != ABSTAIN)
+            z = math.log(pi / (1 - pi)) + sum(math.log(g[v][1] / g[v][0]) for g, v in zip(given, p[:-1]))
             q.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
     return LabelModel(pi, names, given)
 
