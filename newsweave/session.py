@@ -37,9 +37,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that the loss of an executor doesn't undo an iteration."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of an iteration with a table in the shared folder, so that the loss of an executor doesn't undo
+    it; unlike a checkpoint of an uncached frame it computes the frame once."""
+    return written(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
