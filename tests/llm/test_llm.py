@@ -146,6 +146,41 @@ def test_index_is_appended(spark, tmp_path):
     assert spark.read.parquet(path).count() > n
 
 
+def changed(rnd, text, share=1.0, n=1):
+    """n words changed in a share of the sentences, each in a place and with a word of its own."""
+    out = []
+    for k, x in enumerate(text[:-1].split(". ")):
+        ws = x.split()
+        if rnd.random() < share:
+            for at in rnd.sample(range(2, len(ws) - 2), n):
+                ws[at] = f"w{rnd.randrange(10**9)}"
+        out.append(" ".join(ws))
+    return ". ".join(out) + "."
+
+
+def long_story(rnd, k, n=20):
+    return " ".join(sentence(rnd, n) for _ in range(k))
+
+
+def links(spark, old, batch):
+    """Batch rows (0, 1, ...) and the history rows or, from 1000 on, batch rows that their bodies are linked to."""
+    kinds = "string, full_text string, summary string"
+    h = spark.createDataFrame([(str(i), t, None) for i, t in enumerate(old)], f"id {kinds}")
+    b = spark.createDataFrame([(i, t, None) for i, t in enumerate(batch)], "row_id long, full_text string, summary string")
+    h = history.encoded(h, ["id"], "full_text", "summary", probe=False)
+    b = history.encoded(b, ["row_id"], "full_text", "summary", probe=True)
+    names = {r.body: int(r.id) for r in h.collect()} | {r.body: 1000 + r.row_id for r in b.collect()}
+    return {(names[r.a] - 1000, names[r.b]) for r in history.body_links(h, b).collect()}
+
+
+def test_history_finds_a_much_copied_story(spark):
+    rnd = random.Random(21)
+    for k in (4, 10):
+        base = long_story(rnd, k)
+        old = [base + " " + sentence(rnd, 5) for _ in range(40)]
+        assert links(spark, old, [changed(rnd, base), story(rnd)]) >= {(0, i) for i in range(40)}
+
+
 # --- pages and markup -------------------------------------------------------------------------------------------------
 
 
