@@ -31,13 +31,15 @@ def runs(enc: str) -> np.ndarray:
 
 
 def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Runs that several texts of a sample of rows (body, enc) share, in their own order, and how many share each."""
+    """Runs that several texts of a sample of rows (body, enc) share, in their own order, and how many share each.
+    Counted are those that several texts of a batch share, so that the many rare ones aren't shuffled."""
     step = max(1, rows.count() // SAMPLE)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 run, n = np.unique(np.concatenate([runs(e) for e in b["enc"]]), return_counts=True)
+                run, n = run[n > 1], n[n > 1]
                 yield pd.DataFrame({"run": run.view("i8"), "c": n})
 
     some = rows.where(F.pmod("body", F.lit(step)) == 0).select("enc").mapInPandas(count, "run bigint, c bigint")

@@ -66,6 +66,18 @@ def test_near_copies_against_brute_force(spark):
     assert nearcopies.row_pairs(df.limit(0)).count() == 0
 
 
+def pairs_of(spark, bodies):
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(bodies)], "row_id long, full_text string, summary string")
+    return {tuple(r) for r in nearcopies.row_pairs(df).collect()}
+
+
+def test_near_copies_with_a_word_changed_in_every_sentence(spark):
+    rnd = random.Random(31)
+    bases = [long_story(rnd, k) for k in (3, 6, 12) for _ in range(5)]
+    got = pairs_of(spark, [x for b in bases for x in (b, changed(rnd, b))])
+    assert got == {(2 * i, 2 * i + 1) for i in range(len(bases))}
+
+
 def test_edit_distance_band():
     rnd = random.Random(2)
 
