@@ -78,6 +78,15 @@ def test_near_copies_with_a_word_changed_in_every_sentence(spark):
     assert got == {(2 * i, 2 * i + 1) for i in range(len(bases))}
 
 
+def test_near_copies_of_a_story_with_many_versions(spark):
+    rnd = random.Random(32)
+    base = long_story(rnd, 10)
+    bodies = [changed(rnd, base, 0.2) for _ in range(90)] + [changed(rnd, base, 0.7) for _ in range(10)]
+    enc = [texts.encode(t, {}) for t in bodies]
+    want = {(a, b) for a, b in itertools.combinations(range(len(enc)), 2) if texts.similarity(enc[a], enc[b]) >= 0.5}
+    assert any(a >= 90 for a, _ in want) and pairs_of(spark, bodies) == want
+
+
 def test_edit_distance_band():
     rnd = random.Random(2)
 
