@@ -202,6 +202,17 @@ def test_history_finds_a_much_copied_story(spark):
         assert links(spark, old, [changed(rnd, base), story(rnd)]) >= {(0, i) for i in range(40)}
 
 
+def test_history_links_go_both_ways(spark):
+    rnd = random.Random(22)
+    base = long_story(rnd, 5, 24)
+    # six sentences beside five, a word changed in the first and the last third of each: within two edits, not one
+    words = [x.split() for x in base[:-1].split(". ")]
+    later = " ".join(" ".join([*w[:3], f"e{i}", *w[4:20], f"l{i}", *w[21:]]) + "." for i, w in enumerate(words)) + " " + sentence(rnd, 6)
+    assert texts.similarity(texts.encode(base, {}), texts.encode(later, {})) >= 0.5
+    assert links(spark, [], [base, later]) == {(0, 1001), (1, 1000)}
+    assert links(spark, [base], [later]) == {(0, 0)}
+
+
 # --- pages and markup -------------------------------------------------------------------------------------------------
 
 
