@@ -428,7 +428,8 @@ def entity_jaccard_pairs(spark, d):
 
 
 def cosine_pairs(spark, d):
-    """Embeddings in long form; pairs of a label whose cosine reaches 0.9 or more."""
+    """Every 20th row against the rows of its own label, cosine of 0.3 or more, as its SQL has it; the whole matrix is
+    cosine_all_pairs."""
     e = table(spark, d, "embeddings")
     a = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("va"))
     b = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb"))
@@ -436,6 +437,11 @@ def cosine_pairs(spark, d):
     return j.where("sim >= 0.3").select("a", "b", F.round("sim", 5).alias("sim"))
 
 
+def cosine_all_pairs(spark, d):
+    """All rows against all rows, whatever their labels; pairs whose cosine reaches 0.3 or more."""
+    return similarity.all_cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3).withColumn("sim", F.round("sim", 5))
+
+
 def _title_weights(spark, d):
     t = table(spark, d, "cache_single").select("id", text.ngrams(text.word_tokens(text.weighted_text(F.col("title"), F.lit(None).cast("string"), 1), 2), 1, 3).alias("g"))
     counts = t.select("id", F.explode("g").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -504,7 +510,7 @@ def queries() -> dict:
         posterior_filter, adaptive_label, two_layer_filter, label_model_em, sector_scores, sector_best, sector_primary, sector_report,
         victim_window, tfidf_top10, keyword_global_top20, keyword_stats, keyword_trend, order_trend, split_by_hash, text_search,
         filter_combo, sector_filter, place_tag_filter, quick_range, date_bounds, feed_options, spotlight, alphanumeric_order,
-        title_jaccard_pairs, entity_jaccard_pairs, cosine_pairs, tfidf_title_weights, dup_edges, leader_clusters, cluster_stats,
+        title_jaccard_pairs, entity_jaccard_pairs, cosine_pairs, cosine_all_pairs, tfidf_title_weights, dup_edges, leader_clusters, cluster_stats,
         cluster_rollup, exact_copies, p4_found, p4_masks,
     ]
     return {f.__name__: f for f in fs}

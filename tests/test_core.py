@@ -219,6 +219,23 @@ def test_jaccard_and_cosine_pairs_against_brute_force(spark):
     assert {(r.a, r.b) for r in similarity.cosine_pairs(w, "k", 0.7).collect()} == brute
 
 
+def test_cosine_of_all_rows_whatever_their_labels(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from newsweave.plans import catalogue
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 8))
+    rows = [(i, [float(x) for x in v[i]], i % 7) for i in range(60)] + [(90, None, 1), (91, [0.0] * 8, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if unit[i] @ unit[j] >= 0.3}
+    for block in (2048, 10):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        got = [(r.a, r.b) for r in catalogue.queries()["cosine_all_pairs"](spark, str(tmp_path)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_tfidf_empty(spark):
     df = spark.createDataFrame([], "k int, s array<string>")
     counts = keywords.term_counts(df, "k", F.col("s"))
