@@ -152,18 +152,33 @@ def stopword_removal(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.word_tokens(F.col("text"))).alias("words"), F.size(kept).alias("kept"))
 
 
+def _vocab_counts(spark, d):
+    return keywords.term_counts(table(spark, d, "documents"), "doc_id", text.word_tokens(F.col("text")))
+
+
 def vocab_topk(spark, d):
-    counts = keywords.term_counts(table(spark, d, "documents"), "doc_id", text.word_tokens(F.col("text")))
-    return keywords.vocabulary(counts, 1000)
+    """1,000 terms, as its SQL has it; the whole vocabulary is vocab_full."""
+    return keywords.vocabulary(_vocab_counts(spark, d), 1000)
 
 
-def oov_rate(spark, d):
-    words = _vocab_words(spark, d)
-    vocab = vocab_topk(spark, d).select("term")
-    j = words.join(vocab.withColumn("known", F.lit(1)), "term", "left")
+def vocab_full(spark, d):
+    return keywords.vocabulary(_vocab_counts(spark, d))
+
+
+def _oov(words, vocab):
+    j = words.join(vocab.select("term").withColumn("known", F.lit(1)), "term", "left")
     return j.groupBy("lang").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("known").isNull()).alias("oov"), F.round(F.avg(F.col("known").isNull().cast("int")), 6).alias("rate"))
 
 
+def oov_rate(spark, d):
+    """Against the 1,000 terms of vocab_topk, as its SQL has it."""
+    return _oov(_vocab_words(spark, d), vocab_topk(spark, d))
+
+
+def oov_rate_full(spark, d):
+    return _oov(_vocab_words(spark, d), vocab_full(spark, d))
+
+
 def _vocab_words(spark, d):
     return table(spark, d, "documents").select(F.coalesce(F.lower(F.substring("lang", 1, 2)), F.lit("?")).alias("lang"), F.explode(text.word_tokens(F.col("text"))).alias("term"))
 
@@ -505,7 +520,7 @@ def queries() -> dict:
         url_canonical_id, url_dedup_first, url_anti_seen, rows_without_url, feed_alias, rfc822_parse, iso_z_format, cursor_overlap_filter,
         cursor_state_update, merge_counters, url_keyed_merge, raw_url_dedup, result_cache_split, source_type_default, head_per_source,
         latest_per_source, union_distinct, raw_text_choice, whitespace_tokens, token_clean, ngram_counts, stopword_removal, vocab_topk,
-        oov_rate, capitalised_tokens, snippets, age_strings, html_escaped, list_parsing, gazetteer_build, place_mentions, country_vote,
+        vocab_full, oov_rate, oov_rate_full, capitalised_tokens, snippets, age_strings, html_escaped, list_parsing, gazetteer_build, place_mentions, country_vote,
         country_filter, place_narrowing, bbox_first, heatmap, map_funnel, geo_missing, province_membership, rule_votes, rule_coverage,
         posterior_filter, adaptive_label, two_layer_filter, label_model_em, sector_scores, sector_best, sector_primary, sector_report,
         victim_window, tfidf_top10, keyword_global_top20, keyword_stats, keyword_trend, order_trend, split_by_hash, text_search,

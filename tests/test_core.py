@@ -236,6 +236,16 @@ def test_cosine_of_all_rows_whatever_their_labels(spark, tmp_path, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_oov_rate_of_the_whole_vocabulary(spark, tmp_path):
+    from newsweave.plans import catalogue
+
+    letters = "abcdefghijklmnopqrst"
+    words = [x + y + z for x in letters for y in letters for z in letters][:3000]
+    spark.createDataFrame([(1, "nl", " ".join(words))], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalogue.queries()["vocab_full"](spark, str(tmp_path)).count() == 3000
+    assert [tuple(r) for r in catalogue.queries()["oov_rate_full"](spark, str(tmp_path)).collect()] == [("nl", 3000, 0, 0.0)]
+
+
 def test_tfidf_empty(spark):
     df = spark.createDataFrame([], "k int, s array<string>")
     counts = keywords.term_counts(df, "k", F.col("s"))
