@@ -213,6 +213,12 @@ def test_history_links_go_both_ways(spark):
     assert links(spark, [base], [later]) == {(0, 0)}
 
 
+def test_history_finds_a_text_that_stands_three_times_over(spark):
+    rnd = random.Random(23)
+    base = long_story(rnd, 15)
+    assert links(spark, [base], [" ".join([base] * 3)]) == {(0, 0)}
+
+
 # --- pages and markup -------------------------------------------------------------------------------------------------
 
 
