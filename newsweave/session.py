@@ -1,4 +1,4 @@
-"""SparkSession factory and the few settings every operator relies on."""
+"""SparkSession factory, the tables that cut a lineage, and the spread of small inputs."""
 
 from __future__ import annotations
 
@@ -26,35 +26,57 @@ def get_spark(app: str = "newsweave", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+def shared_folder(named: str | None, master: str) -> str:
+    """The folder that all executors share. Only a local master may do without one; on a cluster a machine's own folder
+    would be written in parts that no other executor can read."""
+    if named:
+        return named
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "newsweave-checkpoints")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir; only where it is unset (tests, a single
-    machine) set a folder of our own."""
+    """Use the shared folder the cluster names in spark.checkpoint.dir; only where it is unset, on a single machine, set
+    a folder of our own."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "newsweave-checkpoints"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(spark.conf.get("spark.checkpoint.dir", None), sc.master))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration with a table in the shared folder, so that the loss of an executor doesn't undo
-    it; unlike a checkpoint of an uncached frame it computes the frame once."""
-    return written(df)
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, removed with what is in it when the session's process ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared checkpoint folder and read back: cuts the lineage, survives the loss of
-    executors, and lets later steps read only the columns they need. Removed when the session's process ends."""
+def written(df: DataFrame, *over: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder and read back: cuts the lineage, survives the loss of executors, is
+    computed once, and lets later steps read only the columns they need. over: written tables that nothing reads from
+    here on, which are deleted at once; the rest goes when the session's process ends."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/t-{uuid.uuid4().hex}"
+    path = shared_path(spark, "t")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    for old in over:
+        dropped(old)
+    return out
+
+
+cut = written
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a written table."""
+    if path := getattr(df, "_written", None):
+        _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -67,6 +89,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores: a single small file is else one task."""
+    """df in at least as many partitions as there are cores, for a costly pass over rows. Only an input of less than a
+    split (spark.sql.files.maxPartitionBytes) a core is shuffled for it; a larger one stays as it was split."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 4) else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
