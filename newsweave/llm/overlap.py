@@ -1,11 +1,13 @@
-"""Every pair of texts whose similarity can reach a threshold, by prefixes of their rarest runs of three words.
-
-Two sets with a Jaccard similarity of ``t`` or more have ``t / (1 + t)`` of their summed sizes in common. Put into one
-order that holds for all texts, each must therefore show one of the shared runs among its first
-``n - ceil(t * n) + 1``, and after the first shared run enough must be left in both. Nothing is left out for being
-shared by many: the order, from rare to frequent in a sample, only says which runs are looked at first, so a run that a
-third of all texts share is looked at only in texts that consist of such runs. The sample changes the cost, never the
-pairs.
+"""Every pair of texts whose similarity can reach a threshold, by segments: runs of three words under their place in
+one order that holds for all texts.
+
+Two sets of ``n`` and ``m`` runs with a Jaccard similarity of ``t`` or more share ``t / (1 + t) * (n + m)`` of them, so
+at most ``n - ceil(t * n)`` runs of a text may be missing in its partner: of any ``n - ceil(t * n) + 1`` one is shared.
+These are taken from the rare end of the order (``LARGER``). The smaller text of a pair needs only its first
+``n - ceil(2 * t / (1 + t) * n) + 1`` (``SMALLER``), and after the first shared run enough must be left in both. Nothing
+is left out for being shared by many: a run that a third of all texts hold stands last in each of them, so it is looked
+at only in texts that consist of such runs for the most part, which are similar. The order is counted in a sample; that
+changes the cost, never the pairs.
 """
 
 from __future__ import annotations
@@ -15,75 +17,125 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts in the sample and runs in the order's table; whatever is not in the table counts as rare.
-SAMPLE, TABLE = 100_000, 100_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
+from newsweave.llm.texts import runs, shared
 
-def runs(enc: str) -> np.ndarray:
-    """The distinct runs of three words as sorted numbers; different runs have different numbers."""
-    c = np.frombuffer(enc.replace("\n", "").encode("utf-16-le"), "<u2").astype("u8")
-    with np.errstate(over="ignore"):
-        return np.unique((c[:-2] << np.uint64(32) | c[1:-1] << np.uint64(16) | c[2:]) * _ODD)
+#: Texts in the sample and runs in the order's table; whatever is not in the table counts as rare.
+SAMPLE, TABLE = 20_000, 100_000
+Order = tuple[np.ndarray, np.ndarray]
 
 
-def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Runs that several texts of a sample of rows (body, enc) share, in their own order, and how many share each.
+def frequent(rows: DataFrame, by: str) -> DataFrame:
+    """(run, c): runs that several texts of a sample of rows (by, codes) share, and how many share each, at most TABLE.
     Counted are those that several texts of a batch share, so that the many rare ones aren't shuffled."""
     step = max(1, rows.count() // SAMPLE)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                run, n = np.unique(np.concatenate([runs(e) for e in b["enc"]]), return_counts=True)
+                run, n = np.unique(np.concatenate([runs(c) for c in b["codes"]]), return_counts=True)
                 run, n = run[n > 1], n[n > 1]
                 yield pd.DataFrame({"run": run.view("i8"), "c": n})
 
-    some = rows.where(F.pmod("body", F.lit(step)) == 0).select("enc").mapInPandas(count, "run bigint, c bigint")
-    top = some.groupBy("run").agg(F.sum("c").alias("c")).where("c > 2").orderBy(F.desc("c"), "run").limit(TABLE).toPandas()
+    some = rows.where(F.pmod(F.xxhash64(by), F.lit(step)) == 0).select("codes").mapInPandas(count, "run bigint, c bigint")
+    return some.groupBy("run").agg(F.sum("c").alias("c")).where("c > 2").orderBy(F.desc("c"), "run").limit(TABLE)
+
+
+def held(table: DataFrame) -> Order:
+    """The order's table as two arrays, by run; at most TABLE rows."""
+    top = table.toPandas()
     run, c = top["run"].to_numpy("i8").view("u8"), top["c"].to_numpy("i8")
     at = np.argsort(run)
     return run[at], c[at]
 
 
-def prefix(found: np.ndarray, known: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
-    """The first runs, from rare to frequent, of which a text over the threshold shares one."""
-    if len(known):
-        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-        found = found[np.argsort(np.where(known[at] == found, counts[at], 0), kind="stable")]
-    n = len(found)
-    return found[: n - math.ceil(threshold * n - 1e-9) + 1]
+def ordered(found: np.ndarray, order: Order) -> np.ndarray:
+    """Sorted runs from rare to frequent; runs of one frequency stay in their own order."""
+    known, counts = order
+    if not len(known):
+        return found
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    hit = known[at] == found
+    return np.concatenate([found[~hit], found[hit][np.argsort(counts[at[hit]], kind="stable")]]) if hit.any() else found
 
 
-def prefixes(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
-    """(key, body, n, rest) for each run of the prefix of rows (body, enc): half of the run's number (equal runs have
-    equal keys), the text's number of runs, and how many come after this one."""
-    known, counts = order
+def larger(n: int, t: float) -> int:
+    """Runs of which a text shares one with any partner over the threshold."""
+    return n - math.ceil(t * n - 1e-9) + 1
+
+
+def smaller(n: Column, t: float) -> Column:
+    """Runs of which a text shares one with any partner of its size or more."""
+    return n - F.ceil(F.lit(2 * t / (1 + t)) * n - 1e-9) + 1
+
+
+def segments(rows: DataFrame, by: str, order: Order, t: float) -> DataFrame:
+    """(key, text, n, place) of the first runs of each text of rows (by, codes): half of the run's number (equal runs
+    have equal keys), the text's name and number of runs, and the run's place."""
+    sc = rows.sparkSession.sparkContext
+    table = sc.broadcast(order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order = table.value
         for b in batches:
             if not len(b):
                 continue
-            all_runs = [runs(e) for e in b["enc"]]
+            all_runs = [runs(c) for c in b["codes"]]
             n = np.array([len(x) for x in all_runs])
-            keys = [prefix(x, known, counts, threshold) for x in all_runs]
+            keys = [ordered(x, order)[: larger(len(x), t)] for x in all_runs]
             size = np.array([len(k) for k in keys])
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            each = np.repeat(n, size)
             key = (np.concatenate(keys) >> np.uint64(32)).astype("u4").view("i4")
-            yield pd.DataFrame({"key": key, "body": np.repeat(b["body"].to_numpy("i8"), size), "n": each.astype("i4"), "rest": (each - place - 1).astype("i4")})
+            yield pd.DataFrame({"key": key, "text": np.repeat(b["text"].to_numpy("i8"), size), "n": np.repeat(n, size).astype("i4"), "place": place.astype("i4")})
+
+    return rows.select(F.col(by).alias("text"), "codes").mapInPandas(run, "key int, text bigint, n int, place int")
+
+
+def reach(na: Column, pa: Column, nb: Column, pb: Column, t: float) -> Column:
+    """Whether enough runs are left in both after the places of a shared one, and the sizes allow the threshold."""
+    need = F.lit(t / (1 + t)) * (na + nb) - 1e-6
+    return (F.least(na, nb) >= t * F.greatest(na, nb) - 1e-6) & (F.least(na - pa, nb - pb) >= need)
+
 
-    return rows.select("body", "enc").mapInPandas(run, "key int, body bigint, n int, rest int")
+def within_one(each: DataFrame, t: float) -> DataFrame:
+    """(a, b), each pair once: all pairs of texts of one table of segments that can reach the threshold. Both sides read
+    one shuffle of the segments."""
+    each = each.repartition("key")
+    # a condition that the optimiser leaves where it is: pushed below the shuffle it would make two shuffles of one
+    left = each.where(F.when(F.col("place") < smaller(F.col("n"), t), F.rand(0)).otherwise(-1.0) >= 0).toDF("key", "a", "na", "pa")
+    right = each.toDF("key", "b", "nb", "pb")
+    first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    met = left.join(right, "key").where(first & reach(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), t))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def candidates(left: DataFrame, right: DataFrame, threshold: float, once: bool = False) -> DataFrame:
-    """(a, b), a <> b, of two tables of prefixes: no pair that reaches the threshold is missing. once: only a < b."""
-    far = right.toDF("key", "b", "nb", "rb")
-    need = threshold / (1 + threshold) * (F.col("n") + F.col("nb")) - 1e-6
-    other = F.col("body") < F.col("b") if once else F.col("body") != F.col("b")
-    sizes = F.least("n", "nb") >= threshold * F.greatest("n", "nb") - 1e-6
-    met = left.join(far, "key").where(other & sizes & (1 + F.least("rest", "rb") >= need))
-    return met.select(F.col("body").alias("a"), "b").distinct()
+def between(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
+    """(a, b), a <> b: all pairs of two tables of segments that can reach the threshold."""
+    a, b = left.toDF("key", "a", "na", "pa"), right.toDF("key", "b", "nb", "pb")
+    ok = (F.col("a") != F.col("b")) & reach(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), t)
+    up = a.where(F.col("pa") < smaller(F.col("na"), t)).join(b, "key").where((F.col("na") <= F.col("nb")) & ok)
+    down = a.join(b.where(F.col("pb") < smaller(F.col("nb"), t)), "key").where((F.col("na") > F.col("nb")) & ok)
+    return up.select("a", "b").unionAll(down.select("a", "b")).distinct()
+
+
+def verified(pairs: DataFrame, t: float) -> DataFrame:
+    """(a, b, sim) of pairs (a, b, ca, cb) whose exact similarity reaches the threshold: the runs to take out of or put
+    into one text to get the other's are at most ``(1 - t) / (1 + t)`` of both texts' runs."""
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets: dict[int, np.ndarray] = {}
+            sims = []
+            for a, c, ca, cb in zip(b["a"], b["b"], b["ca"], b["cb"]):
+                x = sets[a] if a in sets else sets.setdefault(a, runs(ca))
+                y = sets[c] if c in sets else sets.setdefault(c, runs(cb))
+                both = shared(x, y)
+                sims.append(both / (len(x) + len(y) - both))
+            out = pd.DataFrame({"a": b["a"], "b": b["b"], "sim": sims})
+            out = out[out["sim"] >= t]
+            if len(out):
+                yield out
+
+    return pairs.select("a", "b", "ca", "cb").mapInPandas(verify, "a bigint, b bigint, sim double")

@@ -1,8 +1,9 @@
-"""What the near-duplicate operators share: bodies, their words as one character each, and exact similarity.
+"""What the near-duplicate operators share: bodies, their words as numbers, runs of three words, exact similarity.
 
 A body is an article's own text: full_text without page furniture and markup or, where nothing is left, the summary
-without markup. Its words (lower-cased runs of letters and digits) are written as one character each, so that a
-sentence is a short string, its edit distance counts words, and a run of three words is a substring of three.
+without markup. Its words (lower-cased runs of letters and digits) are written as 32-bit hashes in their order, and a
+run of three words is a 64-bit number made of three of them. Two different words have one hash once in four thousand
+million, so equal numbers stand for equal words.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ import xxhash
 from newsweave.llm.boilerplate import article_text
 from newsweave.llm.markup import MAYBE, to_clean
 
-_TOKEN = re.compile(r"[^\W_]+|[.!?…](?=[\s\"'”’»)]|$)|\n")
+_WORD = re.compile(r"[^\W_]+")
 _MAYBE = re.compile(MAYBE.replace("(?m)", ""), re.M)
 #: Much cheaper than MAYBE, true for every text that it is true for.
 _SIGN = re.compile(r"[<*`\\$\[{=#~|>_]|&[\w#]|''|(?:^|\n)[ \t]*(?:[-+]|\d{1,3}\.) ")
-_CODES = 32_000
-#: Sentences of more words are cut at words whose hash ends so; fewer words than LEAST join the next sentence.
-LONGEST, LEAST = 48, 5
+#: Words that one task remembers the hashes of.
+REMEMBERED = 400_000
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 
 
 def body_of(full_text: str | None, summary: str | None, furniture: bool = True) -> str:
@@ -37,79 +38,50 @@ def body_of(full_text: str | None, summary: str | None, furniture: bool = True)
     return ""
 
 
-def encode(body: str, known: dict[str, str]) -> str:
-    """Words as characters, sentences divided by a line end. known: filled as it goes."""
-    units: list[str] = []
-    now: list[str] = []
-    for t in _TOKEN.findall(body.lower()):
-        c = known.get(t)
-        if c is None:
-            if not t[0].isalnum():
-                c = "\n"
-            else:
-                h = xxhash.xxh32_intdigest(t) % _CODES
-                c = chr(0x4E00 + h) if h < 20_992 else chr(0xAC00 + h - 20_992)
-            known[t] = c
-        if c != "\n":
-            now.append(c)
-        elif len(now) >= LEAST:
-            units.append("".join(now))
-            now = []
-    if now:
-        if units and len(now) < LEAST:
-            units[-1] += "".join(now)
-        else:
-            units.append("".join(now))
-    return "\n".join(x for u in units for x in _cut(u))
-
-
-def _cut(unit: str) -> list[str]:
-    """A unit too long for a sentence, cut where the words say so: an insertion moves only the cuts beside it."""
-    if len(unit) <= LONGEST:
-        return [unit]
-    out, start = [], 0
-    for i, c in enumerate(unit, 1):
-        if i - start >= 8 and (ord(c) * 2654435761 >> 7) % 12 == 0 or i - start >= LONGEST:
-            out.append(unit[start:i])
-            start = i
-    if start < len(unit):
-        out.append(unit[start:])
-    return out
-
-
-def shingles(enc: str) -> set[str]:
-    """Distinct runs of three words."""
-    s = enc.replace("\n", "")
-    return {s[i : i + 3] for i in range(len(s) - 2)}
-
-
-def body_key(enc: str) -> int:
+def encode(body: str, known: dict[str, int]) -> list[int]:
+    """Words as signed 32-bit hashes, in their order. known: filled as it goes, emptied when it is full."""
+    words = _WORD.findall(body.lower())
+    try:
+        return [known[w] for w in words]
+    except KeyError:
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in set(words) - known.keys():
+            h = xxhash.xxh32_intdigest(w)
+            known[w] = h - (1 << 32) if h >> 31 else h
+        return [known[w] for w in words]
+
+
+def runs(codes: list[int] | np.ndarray) -> np.ndarray:
+    """The distinct runs of three words as sorted 64-bit numbers."""
+    c = np.asarray(codes, "i4").view("u4").astype("u8")
+    if len(c) < 3:
+        return np.empty(0, "u8")
+    with np.errstate(over="ignore"):
+        h = (((c[:-2] + np.uint64(1)) * _A) ^ c[1:-1]) * _B
+        h = ((h ^ (h >> _C)) + c[2:]) * _A
+    h = np.sort(h ^ (h >> _C))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+
+
+def body_key(codes: list[int]) -> int:
     """64 bits that stand for the words of a body."""
-    return int(np.uint64(xxhash.xxh64_intdigest(enc.replace("\n", ""))).view(np.int64))
+    h = xxhash.xxh64_intdigest(np.asarray(codes, "i4").tobytes())
+    return h - (1 << 64) if h >> 63 else h
 
 
-def similarity(a: str, b: str) -> float:
-    """Shared distinct runs of three words over the runs in either; 0 if there are none."""
-    x, y = shingles(a), shingles(b)
-    both = len(x & y)
-    return both / (len(x) + len(y) - both) if both else 0.0
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two sorted lists of distinct numbers have in common."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
 
 
-def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance of two strings is at most ``most``: a band of the table, left when all is beyond."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > most:
-        return False
-    prev = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        lo, hi = max(1, i - most), min(len(b), i + most)
-        row = [most + 1] * (len(b) + 1)
-        if lo == 1:
-            row[0] = i
-        for j in range(lo, hi + 1):
-            row[j] = min(prev[j] + 1, row[j - 1] + 1, prev[j - 1] + (x != b[j - 1]))
-        if min(row[lo - 1 : hi + 1]) > most:
-            return False
-        prev = row
-    return prev[-1] <= most
+def similarity(a: list[int] | np.ndarray, b: list[int] | np.ndarray) -> float:
+    """Shared distinct runs of three words over the runs in either; 0 if there are none."""
+    x, y = runs(a), runs(b)
+    both = shared(x, y)
+    return both / (len(x) + len(y) - both) if both else 0.0

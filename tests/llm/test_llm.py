@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsweave.llm import abuse, boilerplate, history, leaks, lookalikes, markup, mixture, nearcopies, subjects, texts
+from newsweave.session import shared_path
 
 WORDS = [f"woord{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
 
@@ -31,19 +32,6 @@ def edited(rnd, text, n):
 # --- near-copies ------------------------------------------------------------------------------------------------------
 
 
-def test_golay_decodes_up_to_three_errors():
-    import numpy as np
-
-    rem = nearcopies._REM
-    rnd = random.Random(1)
-    for _ in range(200):
-        d = rnd.randrange(4096)
-        word = d << 11 | int(rem[d])
-        for b in rnd.sample(range(23), rnd.randrange(4)):
-            word ^= 1 << b
-        assert nearcopies.decode(np.array([word], "i4"))[0] == d
-
-
 def test_near_copies_against_brute_force(spark):
     rnd = random.Random(5)
     rows = []
@@ -60,7 +48,7 @@ def test_near_copies_against_brute_force(spark):
     enc = {i: texts.encode(texts.body_of(f, s), {}) for i, f, s, _ in data}
     want = {(a, b) for a, b in itertools.combinations(sorted(enc), 2) if texts.similarity(enc[a], enc[b]) >= 0.5}
     got = {tuple(r) for r in nearcopies.row_pairs(df).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want)
+    assert got == want
     g = {r.row_id: r for r in nearcopies.groups(df).collect()}
     assert len(g) == len(rows) and all(g[a].group_id == g[b].group_id for a, b in got)
     assert nearcopies.row_pairs(df.limit(0)).count() == 0
@@ -87,43 +75,9 @@ def test_near_copies_of_a_story_with_many_versions(spark):
     assert any(a >= 90 for a, _ in want) and pairs_of(spark, bodies) == want
 
 
-def test_edit_distance_band():
-    rnd = random.Random(2)
-
-    def slow(a, b):
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            p, d[0] = d[0], i
-            for j, y in enumerate(b, 1):
-                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
-        return d[-1]
-
-    for _ in range(500):
-        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randrange(8))) for _ in range(2))
-        assert texts.within(a, b, 2) == (slow(a, b) <= 2)
-
-
 # --- history ----------------------------------------------------------------------------------------------------------
 
 
-def test_segments_meet_within_the_distance():
-    rnd = random.Random(4)
-    for _ in range(400):
-        a = "".join(chr(0x4E00 + rnd.randrange(500)) for _ in range(rnd.randrange(4, 20)))
-        b = list(a)
-        t = rnd.choice([1, 2])
-        for _ in range(t):
-            kind = rnd.randrange(3)
-            at = rnd.randrange(len(b))
-            if kind == 0:
-                b[at] = "x"
-            elif kind == 1:
-                b.insert(at, "y")
-            elif len(b) > t + 1:
-                del b[at]
-        assert set(history.index_keys("".join(b), t)) & set(history.probe_keys(a, t))
-
-
 def test_history_against_the_sequential_rule(spark):
     rnd = random.Random(8)
     old = [story(rnd, 5) for _ in range(25)]
@@ -156,15 +110,36 @@ def test_history_against_the_sequential_rule(spark):
     assert {r.row_id for r in history.accepted(c, b).collect()} == {x[0] for x in batch} - set(want)
 
 
-def test_index_is_appended(spark, tmp_path):
+def arrivals(spark, texts_, first=0):
+    rows = [(first + i, 1, i, f"http://n/{first + i}", t, None) for i, t in enumerate(texts_)]
+    return spark.createDataFrame(rows, "row_id long, batch_no int, pos long, url string, full_text string, summary string")
+
+
+def test_batches_are_held_against_the_stored_index(spark, tmp_path):
     rnd = random.Random(1)
-    df = spark.createDataFrame([(i, story(rnd), None) for i in range(4)], "row_id long, full_text string, summary string")
-    rows = history.encoded(df, ["row_id"], "full_text", "summary", probe=False)
+    stories = [story(rnd) for _ in range(6)]
+    path = str(tmp_path / "ix")
+    cache = spark.createDataFrame([("a" * 64, "http://h/0", stories[0], None)], "id string, canonical_url string, full_text string, summary string")
+    got = history.repeats(cache, arrivals(spark, [edited(rnd, stories[0], 2), stories[1], stories[2]]), path=path)
+    assert {(r.row_id, r.kept_id) for r in got.collect()} == {(0, "a" * 64)}
+    n = spark.read.parquet(f"{path}/segments").count()
+    # the next batch meets what the first one left in the index; cache isn't there any more
+    got = history.arrive(path, arrivals(spark, [edited(rnd, stories[1], 2), stories[3], stories[2], stories[3] + " Slot."], 100))
+    sha = lambda u: hashlib.sha256(u.encode()).hexdigest()
+    assert {(r.row_id, r.kept_id) for r in got.collect()} == {(100, sha("http://n/1")), (102, sha("http://n/2")), (103, sha("http://n/101"))}
+    assert spark.read.parquet(f"{path}/segments").count() > n
+    assert spark.read.parquet(f"{path}/texts").count() == 1 + 2 + 1
+
+
+def test_stored_segments_outside_the_batch_are_not_shuffled(spark, tmp_path):
+    rnd = random.Random(2)
     path = str(tmp_path / "ix")
-    history.build_index(rows.where("row_id < 2"), path)
-    n = spark.read.parquet(path).count()
-    history.append_index(rows.where("row_id >= 2"), path)
-    assert spark.read.parquet(path).count() > n
+    cache = spark.createDataFrame([(str(i), f"http://h/{i}", story(rnd), None) for i in range(50)], "id string, canonical_url string, full_text string, summary string")
+    history.build_index(history.encoded(cache, ["id", "canonical_url"], "full_text", "summary"), path)
+    stored = history._stored(spark, path, "segments", "key int, text bigint, n int, place int")
+    own = stored.where("text = (select min(text) from {t})".format(t=f"parquet.`{path}/segments`"))
+    kept = history._probed(stored, own).count()
+    assert own.count() <= kept < 0.2 * stored.count()
 
 
 def changed(rnd, text, share=1.0, n=1):
@@ -186,12 +161,14 @@ def long_story(rnd, k, n=20):
 def links(spark, old, batch):
     """Batch rows (0, 1, ...) and the history rows or, from 1000 on, batch rows that their bodies are linked to."""
     kinds = "string, full_text string, summary string"
-    h = spark.createDataFrame([(str(i), t, None) for i, t in enumerate(old)], f"id {kinds}")
+    h = spark.createDataFrame([(str(i), f"http://h/{i}", t, None) for i, t in enumerate(old)], f"id string, canonical_url {kinds}")
     b = spark.createDataFrame([(i, t, None) for i, t in enumerate(batch)], "row_id long, full_text string, summary string")
-    h = history.encoded(h, ["id"], "full_text", "summary", probe=False)
-    b = history.encoded(b, ["row_id"], "full_text", "summary", probe=True)
+    h = history.encoded(h, ["id", "canonical_url"], "full_text", "summary")
+    b = history.encoded(b, ["row_id"], "full_text", "summary")
+    path = shared_path(spark, "ix")
+    history.build_index(h, path)
     names = {r.body: int(r.id) for r in h.collect()} | {r.body: 1000 + r.row_id for r in b.collect()}
-    return {(names[r.a] - 1000, names[r.b]) for r in history.body_links(h, b).collect()}
+    return {(names[r.a] - 1000, names[r.b]) for r in history.body_links(path, b)[0].collect()}
 
 
 def test_history_finds_a_much_copied_story(spark):
