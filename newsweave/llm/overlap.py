@@ -1,19 +1,22 @@
-"""Every pair of texts whose similarity can reach a threshold, by segments: runs of three words under their place in
-one order that holds for all texts.
-
-Two sets of ``n`` and ``m`` runs with a Jaccard similarity of ``t`` or more share ``t / (1 + t) * (n + m)`` of them, so
-at most ``n - ceil(t * n)`` runs of a text may be missing in its partner: of any ``n - ceil(t * n) + 1`` one is shared.
-These are taken from the rare end of the order (``LARGER``). The smaller text of a pair needs only its first
-``n - ceil(2 * t / (1 + t) * n) + 1`` (``SMALLER``), and after the first shared run enough must be left in both. Nothing
-is left out for being shared by many: a run that a third of all texts hold stands last in each of them, so it is looked
-at only in texts that consist of such runs for the most part, which are similar. The order is counted in a sample; that
-changes the cost, never the pairs.
+"""Pairs of texts whose similarity can reach a threshold, by the rarest words of their units.
+
+The words of a unit (a sentence) stand in one order that holds for all texts, from rare to frequent. Its keys are the
+sets of ``TOGETHER`` of its first ``FIRST`` words. An edit takes at most one word out of a unit and puts one in, so after
+an edit four of the first five words are still among them: units within one edit of each other share a key. Texts that
+share keys meet if the units in which they do hold ``SHARE`` of the longer one's runs, and are verified. At a similarity
+of 0.5 a text has at most one edit in nine words; a unit of up to 26 words escapes if it has two or more, and a pair of
+texts only if nearly all of its units do (figures in the README).
+
+No key is left out for being shared by many. A text leaves out its most frequent units only while what it leaves out is
+under ``LEFT_OUT`` of its runs, so units that a third of all texts share are looked at only in texts that consist of
+such units for the most part. What is frequent is counted in a sample of the texts.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,102 +25,169 @@ from pyspark.sql import functions as F
 
 from newsweave.llm.texts import runs, shared
 
-#: Texts in the sample and runs in the order's table; whatever is not in the table counts as rare.
+#: Texts in the sample and entries of the tables made from it; a word or key that isn't there counts as rare.
 SAMPLE, TABLE = 20_000, 100_000
-Order = tuple[np.ndarray, np.ndarray]
+FIRST, TOGETHER, LEFT_OUT, SHARE = 5, 4, 0.4, 0.1
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def frequent(rows: DataFrame, by: str) -> DataFrame:
-    """(run, c): runs that several texts of a sample of rows (by, codes) share, and how many share each, at most TABLE.
-    Counted are those that several texts of a batch share, so that the many rare ones aren't shuffled."""
-    step = max(1, rows.count() // SAMPLE)
+class Order(NamedTuple):
+    """Frequent words and keys of the sample, each sorted, and how many texts have them."""
+
+    words: np.ndarray
+    word_counts: np.ndarray
+    keys: np.ndarray
+    key_counts: np.ndarray
+
+
+def _counts(of: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(of), "i8")
+    at = np.minimum(np.searchsorted(known, of), len(known) - 1)
+    return np.where(known[at] == of, counts[at], 0)
+
+
+def unit_keys(codes: list[np.ndarray], order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, the text and the unit of each, and the words of each unit, of many texts at once."""
+    length = np.array([len(c) for c in codes])
+    flat = np.concatenate([np.asarray(c, "i4") for c in codes])
+    text = np.repeat(np.arange(len(codes)), length)
+    unit = np.concatenate([[0], np.cumsum(flat == 0)[:-1]])
+    word = flat != 0
+    flat, text, unit = flat[word], text[word], unit[word]
+    size = np.bincount(unit)
+    u = flat.view("u4").astype("u8")
+    with np.errstate(over="ignore"):
+        rank = (_counts(flat, order.words, order.word_counts).astype("u8") << np.uint64(32)) | (u * _MIX >> np.uint64(32))
+    at = np.lexsort((rank, unit))
+    unit, rank, u, text = unit[at], rank[at], u[at], text[at]
+    new = np.concatenate([[True], (unit[1:] != unit[:-1]) | (rank[1:] != rank[:-1])])
+    unit, u, text = unit[new], u[new], text[new]
+    begin = np.concatenate([[True], unit[1:] != unit[:-1]])
+    start = np.flatnonzero(begin)
+    many = np.diff(np.append(start, len(unit)))
+    keys, texts, units = [], [], []
+    sets = [(c, many > c[-1]) for c in itertools.combinations(range(FIRST), TOGETHER)]
+    sets += [(c, (many > c[-1]) & (many < FIRST)) for c in itertools.combinations(range(FIRST - 1), 2)]
+    for places, has in sets:
+        s = start[has]
+        h = np.zeros(len(s), "u8")
+        with np.errstate(over="ignore"):
+            for x in np.sort(np.stack([u[s + i] for i in places]), axis=0):
+                h = ((h ^ x) + np.uint64(len(places))) * _MIX
+                h ^= h >> np.uint64(29)
+        keys.append((h >> np.uint64(32)).astype("u4").view("i4")), texts.append(text[s]), units.append(unit[s])
+    return np.concatenate(keys), np.concatenate(texts), np.concatenate(units), size
+
+
+def _census(rows: DataFrame, values) -> tuple[np.ndarray, np.ndarray]:
+    """The TABLE values that most rows of codes have, if several do, and how many; values: of a list of codes, the
+    distinct ones of each row. Counted within a batch first, so that the many rare ones aren't shuffled."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                run, n = np.unique(np.concatenate([runs(c) for c in b["codes"]]), return_counts=True)
-                run, n = run[n > 1], n[n > 1]
-                yield pd.DataFrame({"run": run.view("i8"), "c": n})
-
-    some = rows.where(F.pmod(F.xxhash64(by), F.lit(step)) == 0).select("codes").mapInPandas(count, "run bigint, c bigint")
-    return some.groupBy("run").agg(F.sum("c").alias("c")).where("c > 2").orderBy(F.desc("c"), "run").limit(TABLE)
+                v, n = np.unique(values(list(b["codes"])), return_counts=True)
+                yield pd.DataFrame({"v": v[n > 1], "c": n[n > 1]})
 
+    some = rows.mapInPandas(count, "v int, c bigint").groupBy("v").agg(F.sum("c").alias("c")).where("c > 2")
+    top = some.orderBy(F.desc("c"), "v").limit(TABLE).toPandas()
+    at = np.argsort(top["v"].to_numpy("i4"))
+    return top["v"].to_numpy("i4")[at], top["c"].to_numpy("i8")[at]
 
-def held(table: DataFrame) -> Order:
-    """The order's table as two arrays, by run; at most TABLE rows."""
-    top = table.toPandas()
-    run, c = top["run"].to_numpy("i8").view("u8"), top["c"].to_numpy("i8")
-    at = np.argsort(run)
-    return run[at], c[at]
 
+def frequent(rows: DataFrame, by: str) -> Order:
+    """The order, from a sample of rows (by, codes)."""
+    step = max(1, rows.count() // SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64(by), F.lit(step)) == 0).select("codes")
+    words = _census(some, lambda cs: np.concatenate([np.unique(c) for c in cs]))
+    none = np.empty(0, "i4"), np.empty(0, "i8")
+    order = Order(*words, *none)
 
-def ordered(found: np.ndarray, order: Order) -> np.ndarray:
-    """Sorted runs from rare to frequent; runs of one frequency stay in their own order."""
-    known, counts = order
-    if not len(known):
-        return found
-    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-    hit = known[at] == found
-    return np.concatenate([found[~hit], found[hit][np.argsort(counts[at[hit]], kind="stable")]]) if hit.any() else found
-
+    def keys(cs):
+        k, text, _, _ = unit_keys(cs, order)
+        return np.unique(text.astype("i8") << 32 | k.view("u4")).astype("u4").view("i4") if len(k) else k
 
-def larger(n: int, t: float) -> int:
-    """Runs of which a text shares one with any partner over the threshold."""
-    return n - math.ceil(t * n - 1e-9) + 1
+    return Order(*words, *_census(some, keys))
 
 
-def smaller(n: Column, t: float) -> Column:
-    """Runs of which a text shares one with any partner of its size or more."""
-    return n - F.ceil(F.lit(2 * t / (1 + t)) * n - 1e-9) + 1
+SEGMENTS = "key int, text bigint, n int, unit int, size int"
 
 
-def segments(rows: DataFrame, by: str, order: Order, t: float) -> DataFrame:
-    """(key, text, n, place) of the first runs of each text of rows (by, codes): half of the run's number (equal runs
-    have equal keys), the text's name and number of runs, and the run's place."""
-    sc = rows.sparkSession.sparkContext
-    table = sc.broadcast(order)
+def segments(rows: DataFrame, by: str, order: Order) -> DataFrame:
+    """SEGMENTS of rows (by, codes): the keys of each text, its number of runs, the key's unit (its place in the text)
+    and the unit's words."""
+    table = rows.sparkSession.sparkContext.broadcast(order)  # twice TABLE entries at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = table.value
         for b in batches:
             if not len(b):
                 continue
-            all_runs = [runs(c) for c in b["codes"]]
-            n = np.array([len(x) for x in all_runs])
-            keys = [ordered(x, order)[: larger(len(x), t)] for x in all_runs]
-            size = np.array([len(k) for k in keys])
-            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            key = (np.concatenate(keys) >> np.uint64(32)).astype("u4").view("i4")
-            yield pd.DataFrame({"key": key, "text": np.repeat(b["text"].to_numpy("i8"), size), "n": np.repeat(n, size).astype("i4"), "place": place.astype("i4")})
+            codes = list(b["codes"])
+            key, text, unit, size = unit_keys(codes, order)
+            if not len(key):
+                continue
+            of = np.full(len(size), -1)
+            of[unit] = text
+            n = np.array([len(runs(c)) for c in codes])
+            kept = np.ones(len(size), bool)
+            hot = np.full(len(size), np.iinfo("i8").max)
+            np.minimum.at(hot, unit, _counts(key, order.keys, order.key_counts))
+            some = np.flatnonzero((of >= 0) & (hot > 0))
+            if len(some):  # of each text the most frequent units, as long as they are under LEFT_OUT of it
+                some = some[np.lexsort((-hot[some], of[some]))]
+                upto = np.cumsum(size[some])
+                first = np.concatenate([[True], of[some][1:] != of[some][:-1]])
+                before = np.maximum.accumulate(np.where(first, upto - size[some], 0))
+                kept[some[upto - before <= LEFT_OUT * n[of[some]]]] = False
+            place = np.arange(len(size)) - np.concatenate([[0], np.cumsum(np.bincount(of[of >= 0], minlength=len(codes)))])[np.maximum(of, 0)]
+            k = kept[unit]
+            text, key, unit = text[k], key[k], unit[k]
+            at = np.lexsort((unit, key, text))
+            text, key, unit = text[at], key[at], unit[at]
+            new = np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])])[: len(key)]
+            text, key, unit = text[new], key[new], unit[new]
+            out = {"key": key, "text": b["text"].to_numpy("i8")[text], "n": n[text], "unit": place[unit], "size": size[unit]}
+            yield pd.DataFrame({c: v.astype("i8" if c == "text" else "i4") for c, v in out.items()})
+
+    return rows.select(F.col(by).alias("text"), "codes").mapInPandas(run, SEGMENTS)
+
+
+def _met(left: DataFrame, right: DataFrame, different: Column, t: float) -> DataFrame:
+    """(a, b): texts of the joined sides whose common units are long enough."""
+    a = left.select("key", F.col("text").alias("a"), F.col("n").alias("na"), "unit", F.col("size").alias("sa"))
+    b = right.select("key", F.col("text").alias("b"), F.col("n").alias("nb"), F.col("size").alias("sb"))
+    sizes = F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-6
+    units = F.abs(F.col("sa") - F.col("sb")) <= 1
+    met = a.join(b, "key").where(different & sizes & units).select("a", "b", "unit", "sa", F.greatest("na", "nb").alias("n"))
+    each = met.repartition("a", "b").groupBy("a", "b", "unit").agg(F.max("sa").alias("sa"), F.max("n").alias("n"))
+    whole = each.groupBy("a", "b").agg(F.sum("sa").alias("s"), F.max("n").alias("n"))
+    return whole.where(F.col("s") >= SHARE * F.col("n")).select("a", "b")
 
-    return rows.select(F.col(by).alias("text"), "codes").mapInPandas(run, "key int, text bigint, n int, place int")
 
+def within_one(each: DataFrame, t: float) -> DataFrame:
+    """(a, b), a < b: all pairs of texts of one table of segments that meet."""
+    return _met(each, each, F.col("a") < F.col("b"), t)
 
-def reach(na: Column, pa: Column, nb: Column, pb: Column, t: float) -> Column:
-    """Whether enough runs are left in both after the places of a shared one, and the sizes allow the threshold."""
-    need = F.lit(t / (1 + t)) * (na + nb) - 1e-6
-    return (F.least(na, nb) >= t * F.greatest(na, nb) - 1e-6) & (F.least(na - pa, nb - pb) >= need)
 
+def between(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
+    """(a, b), a <> b: all pairs of two tables of segments that meet."""
+    return _met(left, right, F.col("a") != F.col("b"), t)
 
-def within_one(each: DataFrame, t: float) -> DataFrame:
-    """(a, b), each pair once: all pairs of texts of one table of segments that can reach the threshold. Both sides read
-    one shuffle of the segments."""
-    each = each.repartition("key")
-    # a condition that the optimiser leaves where it is: pushed below the shuffle it would make two shuffles of one
-    left = each.where(F.when(F.col("place") < smaller(F.col("n"), t), F.rand(0)).otherwise(-1.0) >= 0).toDF("key", "a", "na", "pa")
-    right = each.toDF("key", "b", "nb", "pb")
-    first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    met = left.join(right, "key").where(first & reach(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), t))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+def stored(order: Order, spark) -> DataFrame:
+    """The order as a table (kind, v, c)."""
+    both = [("w", order.words, order.word_counts), ("k", order.keys, order.key_counts)]
+    rows = pd.concat([pd.DataFrame({"kind": kind, "v": v, "c": c}) for kind, v, c in both])
+    return spark.createDataFrame(rows, "kind string, v int, c bigint")
 
-def between(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
-    """(a, b), a <> b: all pairs of two tables of segments that can reach the threshold."""
-    a, b = left.toDF("key", "a", "na", "pa"), right.toDF("key", "b", "nb", "pb")
-    ok = (F.col("a") != F.col("b")) & reach(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), t)
-    up = a.where(F.col("pa") < smaller(F.col("na"), t)).join(b, "key").where((F.col("na") <= F.col("nb")) & ok)
-    down = a.join(b.where(F.col("pb") < smaller(F.col("nb"), t)), "key").where((F.col("na") > F.col("nb")) & ok)
-    return up.select("a", "b").unionAll(down.select("a", "b")).distinct()
+
+def read(table: DataFrame) -> Order:
+    """What ``stored`` wrote; at most twice TABLE rows."""
+    t = table.orderBy("v").toPandas()
+    of = lambda kind, c, dtype: t.loc[t["kind"] == kind, c].to_numpy(dtype)
+    return Order(of("w", "v", "i4"), of("w", "c", "i8"), of("k", "v", "i4"), of("k", "c", "i8"))
 
 
 def verified(pairs: DataFrame, t: float) -> DataFrame:

@@ -1,9 +1,10 @@
 """What the near-duplicate operators share: bodies, their words as numbers, runs of three words, exact similarity.
 
 A body is an article's own text: full_text without page furniture and markup or, where nothing is left, the summary
-without markup. Its words (lower-cased runs of letters and digits) are written as 32-bit hashes in their order, and a
-run of three words is a 64-bit number made of three of them. Two different words have one hash once in four thousand
-million, so equal numbers stand for equal words.
+without markup. Its words (lower-cased runs of letters and digits) are written as 32-bit hashes in their order, with a
+0 at the end of each unit (a sentence, or a part of a long one), and a run of three words is a 64-bit number made of
+three of them, whatever the units. Two different words have one hash once in four thousand million, so equal numbers
+stand for equal words.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from newsweave.llm.boilerplate import article_text
 from newsweave.llm.markup import MAYBE, to_clean
 
 _WORD = re.compile(r"[^\W_]+")
+_END = re.compile(r"[.!?…](?=[\s\"'”’»)]|$)|\n")
 _MAYBE = re.compile(MAYBE.replace("(?m)", ""), re.M)
 #: Much cheaper than MAYBE, true for every text that it is true for.
 _SIGN = re.compile(r"[<*`\\$\[{=#~|>_]|&[\w#]|''|(?:^|\n)[ \t]*(?:[-+]|\d{1,3}\.) ")
 #: Words that one task remembers the hashes of.
 REMEMBERED = 400_000
+#: A unit of fewer words than LEAST joins the next; one of more than LONGEST is cut, where its words say so.
+LEAST, LONGEST = 5, 26
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 
 
@@ -39,22 +43,55 @@ def body_of(full_text: str | None, summary: str | None, furniture: bool = True)
 
 
 def encode(body: str, known: dict[str, int]) -> list[int]:
-    """Words as signed 32-bit hashes, in their order. known: filled as it goes, emptied when it is full."""
-    words = _WORD.findall(body.lower())
-    try:
-        return [known[w] for w in words]
-    except KeyError:
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words) - known.keys():
-            h = xxhash.xxh32_intdigest(w)
-            known[w] = h - (1 << 32) if h >> 31 else h
-        return [known[w] for w in words]
+    """Words as signed 32-bit hashes, none of them 0, in their order, and a 0 after each unit. known: filled as it goes,
+    emptied when it is full."""
+    out: list[int] = []
+    start = 0
+    for part in _END.split(body.lower()):
+        words = _WORD.findall(part)
+        if not words:
+            continue
+        try:
+            out += [known[w] for w in words]
+        except KeyError:
+            if len(known) > REMEMBERED:
+                known.clear()
+            for w in set(words) - known.keys():
+                h = xxhash.xxh32_intdigest(w) or 1
+                known[w] = h - (1 << 32) if h >> 31 else h
+            out += [known[w] for w in words]
+        if len(out) - start >= LEAST:
+            if len(out) - start > LONGEST:
+                out[start:] = _cut(out[start:])
+            out.append(0)
+            start = len(out)
+    if start < len(out):
+        if start and len(out) - start < LEAST:
+            del out[start - 1]  # too short for a unit of its own
+        out.append(0)
+    return out
+
+
+def _cut(unit: list[int]) -> list[int]:
+    """A unit too long for a sentence with a 0 where its words say so: an insertion moves only the cuts beside it."""
+    out, start = [], 0
+    for i, c in enumerate(unit, 1):
+        out.append(c)
+        if (i - start >= 8 and (c & 0xFFFFFFFF) * 2654435761 % (1 << 32) < (1 << 32) // 8 or i - start >= LONGEST) and len(unit) - i >= LEAST:
+            out.append(0)
+            start = i
+    return out
+
+
+def words_of(codes: list[int] | np.ndarray) -> np.ndarray:
+    """The words without the ends of units."""
+    c = np.asarray(codes, "i4")
+    return c[c != 0]
 
 
 def runs(codes: list[int] | np.ndarray) -> np.ndarray:
     """The distinct runs of three words as sorted 64-bit numbers."""
-    c = np.asarray(codes, "i4").view("u4").astype("u8")
+    c = words_of(codes).view("u4").astype("u8")
     if len(c) < 3:
         return np.empty(0, "u8")
     with np.errstate(over="ignore"):
@@ -66,7 +103,7 @@ def runs(codes: list[int] | np.ndarray) -> np.ndarray:
 
 def body_key(codes: list[int]) -> int:
     """64 bits that stand for the words of a body."""
-    h = xxhash.xxh64_intdigest(np.asarray(codes, "i4").tobytes())
+    h = xxhash.xxh64_intdigest(words_of(codes).tobytes())
     return h - (1 << 64) if h >> 63 else h
 
 

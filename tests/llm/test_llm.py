@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from newsweave.llm import abuse, boilerplate, history, leaks, lookalikes, markup, mixture, nearcopies, subjects, texts
+from newsweave.llm import abuse, boilerplate, history, leaks, lookalikes, markup, mixture, nearcopies, overlap, subjects, texts
 from newsweave.session import shared_path
 
 WORDS = [f"woord{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
@@ -136,7 +136,7 @@ def test_stored_segments_outside_the_batch_are_not_shuffled(spark, tmp_path):
     path = str(tmp_path / "ix")
     cache = spark.createDataFrame([(str(i), f"http://h/{i}", story(rnd), None) for i in range(50)], "id string, canonical_url string, full_text string, summary string")
     history.build_index(history.encoded(cache, ["id", "canonical_url"], "full_text", "summary"), path)
-    stored = history._stored(spark, path, "segments", "key int, text bigint, n int, place int")
+    stored = history._stored(spark, path, "segments", overlap.SEGMENTS)
     own = stored.where("text = (select min(text) from {t})".format(t=f"parquet.`{path}/segments`"))
     kept = history._probed(stored, own).count()
     assert own.count() <= kept < 0.2 * stored.count()
