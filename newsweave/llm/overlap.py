@@ -157,11 +157,12 @@ def segments(rows: DataFrame, by: str, order: Order) -> DataFrame:
 def _met(left: DataFrame, right: DataFrame, different: Column, t: float) -> DataFrame:
     """(a, b): texts of the joined sides whose common units are long enough."""
     a = left.select("key", F.col("text").alias("a"), F.col("n").alias("na"), "unit", F.col("size").alias("sa"))
-    b = right.select("key", F.col("text").alias("b"), F.col("n").alias("nb"), F.col("size").alias("sb"))
+    b = right.select("key", F.col("text").alias("b"), F.col("n").alias("nb"), F.col("unit").alias("ub"), F.col("size").alias("sb"))
     sizes = F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-6
     units = F.abs(F.col("sa") - F.col("sb")) <= 1
-    met = a.join(b, "key").where(different & sizes & units).select("a", "b", "unit", "sa", F.greatest("na", "nb").alias("n"))
-    each = met.repartition("a", "b").groupBy("a", "b", "unit").agg(F.max("sa").alias("sa"), F.max("n").alias("n"))
+    met = a.join(b, "key").where(different & sizes & units).select("a", "b", "unit", "ub", "sa", F.greatest("na", "nb").alias("n"))
+    # by both units, so that both sides of a self-join need the same columns and read one shuffle
+    each = met.repartition("a", "b").groupBy("a", "b", "unit", "ub").agg(F.max("sa").alias("sa"), F.max("n").alias("n"))
     whole = each.groupBy("a", "b").agg(F.sum("sa").alias("s"), F.max("n").alias("n"))
     return whole.where(F.col("s") >= SHARE * F.col("n")).select("a", "b")
 
