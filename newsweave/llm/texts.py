@@ -10,11 +10,11 @@ stand for equal words.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
 
-from newsweave.llm.boilerplate import article_text
 from newsweave.llm.markup import MAYBE, to_clean
 
 _WORD = re.compile(r"[^\W_]+")
@@ -29,12 +29,12 @@ LEAST, LONGEST = 5, 26
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 
 
-def body_of(full_text: str | None, summary: str | None, furniture: bool = True) -> str:
-    """The body of an article, '' if it has none."""
-    for text, page in ((full_text, furniture), (summary, False)):
+def body_of(full_text: str | None, summary: str | None, page: Callable[[str], str] | None = None) -> str:
+    """The body of an article, '' if it has none; page: takes the furniture out of full_text."""
+    for text, reader in ((full_text, page), (summary, None)):
         if text and text.strip():
-            if page:
-                text = article_text(text)
+            if reader:
+                text = reader(text)
             if text and _SIGN.search(text) and _MAYBE.search(text):
                 text = to_clean(text)
             if text and any(c.isalnum() for c in text):
