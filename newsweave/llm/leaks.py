@@ -58,13 +58,15 @@ def tiles(doc: list[str], item: list[str], least: int = MIN_WORDS) -> list[tuple
     for j in range(len(item) - least + 1):
         seeds.setdefault(tuple(item[j : j + least]), []).append(j)
     runs: list[tuple[int, int, int]] = []
-    hits = {(i, j) for i in range(len(doc) - least + 1) for j in seeds.get(tuple(doc[i : i + least]), ())}
-    for i, j in hits:
-        if (i - 1, j - 1) not in hits:
-            n = 0
-            while (i + n, j + n) in hits:
-                n += 1
-            runs.append((i, j, n + least - 1))
+    ends: dict[int, int] = {}  # of the last run on each diagonal
+    for i in range(len(doc) - least + 1):
+        for j in seeds.get(tuple(doc[i : i + least]), ()):
+            if i >= ends.get(i - j, 0):
+                n = least
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n]:
+                    n += 1
+                ends[i - j] = i + n - least + 1
+                runs.append((i, j, n))
     out: list[tuple[int, int, int]] = []
     used_d, used_i = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     while runs:
@@ -114,7 +116,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     read once and not shuffled."""
     it = items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     d = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where(F.length(text) >= 2 * MIN_WORDS - 1)
-    n_seeds = it.agg(F.coalesce(F.sum(F.size(F.split(F.trim("text"), r"\s+"))), F.lit(0))).first()[0]
+    # runs of letters or digits, as words() has them
+    n_seeds = it.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+"))), F.lit(0))).first()[0]
     if n_seeds > MAX_SEEDS:
         return _leaks_by_join(d, it)
     known: dict[str, int] = {}
@@ -128,8 +131,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     # a bit table of the low 20 bits rejects nearly every window before the search
     bits = np.zeros(1 << 20, bool)
     bits[small & np.uint64((1 << 20) - 1)] = True
+    share = d.sparkSession.sparkContext.broadcast((seeds, owner, small, bits, item_words))  # at most MAX_SEEDS words
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seeds, owner, small, bits, item_words = share.value
         codes: dict[str, int] = {}
         for b in batches:
             out = []

@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,14 +153,38 @@ def markup_kinds(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def style_tree(df: DataFrame, key: str, host: str, fields: list[str]) -> DataFrame:
-    """(host, kind, path, pages, importance): the merged tree of each host. Contents are hashed and counted before they
-    are shuffled; importance is the entropy of the contents over log(pages), 1 for a node seen once."""
-    seen = parse(df, [key, host], fields).select(key, host, F.explode("nodes").alias("n"))
-    seen = seen.select(host, "n.kind", "n.path", F.xxhash64(F.trim("n.content")).alias("c"), key)
-    per = seen.groupBy(host, "kind", "path", "c").agg(F.count(F.lit(1)).alias("k"))
-    by = per.groupBy(host, "kind", "path").agg(F.sum("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("s"))
-    entropy = F.log("pages") - F.col("s") / F.col("pages")
-    return by.select(host, "kind", "path", "pages", F.when(F.col("pages") > 1, F.round(entropy / F.log("pages"), 6)).otherwise(1.0).alias("importance"))
+    """(host, kind, path, pages, importance): the merged tree of each host. A page counts once for a path and once for a
+    content under it, however often it holds them. Importance is the entropy of the contents over log(pages), 1 for a
+    node on one page only: what stands on a single page is its content. Paths and contents are counted before they are
+    shuffled."""
+
+    @F.pandas_udf("array<struct<kind:string,path:string,c:bigint>>")
+    def merged(values: pd.DataFrame) -> pd.Series:
+        out = []
+        for row in values.itertuples(index=False):
+            seen = {(k, p, _content(c)) for v in row if v is not None for k, p, c in nodes(v)}
+            whole = {(k, p, None) for k, p, _ in seen}  # the path itself
+            out.append([{"kind": k, "path": p, "c": c} for k, p, c in seen | whole])
+        return pd.Series(out)
+
+    some = F.lit(False)
+    for f in fields:
+        some |= F.coalesce(F.col(f).rlike(MAYBE), F.lit(False))
+    rows = df.where(some & F.col(key).isNotNull())
+    each = rows.select(host, F.explode(merged(F.struct(*[F.when(F.col(f).rlike(MAYBE), F.col(f)).alias(f) for f in fields]))).alias("n")).select(host, "n.*")
+    per = each.groupBy(host, "kind", "path", "c").agg(F.count(F.lit(1)).alias("k"))
+    of = F.col("c").isNotNull()
+    by = per.groupBy(host, "kind", "path").agg(
+        F.max(F.when(~of, F.col("k"))).alias("pages"), F.sum(F.when(of, F.col("k"))).alias("all"), F.sum(F.when(of, F.col("k") * F.log("k"))).alias("s")
+    )
+    entropy = F.log("all") - F.col("s") / F.col("all")
+    importance = F.when(F.col("pages") > 1, F.least(F.round(entropy / F.log("pages"), 6), F.lit(1.0))).otherwise(1.0)
+    return by.select(host, "kind", "path", "pages", importance.alias("importance"))
+
+
+def _content(c: str) -> int:
+    h = xxhash.xxh64_intdigest(c.strip())
+    return h - (1 << 64) if h >> 63 else h
 
 
 def to_clean(text: str | None, low: set[str] = frozenset()) -> str | None:

@@ -8,8 +8,9 @@ are summed per hash bucket first, whole buckets are taken below the limit, and o
 
 Defined results: documents without a source, and sources without a target, get 0 repetitions; sources of the targets
 without documents get 0 and their share goes to the others; null or empty texts have 0 tokens and follow their source;
-repeated documents are drawn like any others. With no total given, it is the largest at which every source that has
-documents reaches its share; a larger total clamps the small sources and moves their excess to the others.
+repeated documents are drawn like any others. With no total given, the mixture is as large as the documents of the
+targets' sources together: sources that are too small for their share of that are clamped, and their excess goes to the
+others. ``full_total`` is the largest total that clamps none.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, total: float | None
     d = docs.withColumns({"_draw": draw, "_bucket": (draw / 1_000_000).cast("int")})
     per = d.join(wanted, source, "left_semi").groupBy(source, "_bucket").agg(F.sum(tokens).alias("t"))
     sizes = {r[source]: r.t for r in per.groupBy(source).agg(F.sum("t").alias("t")).collect()}  # at most the targets' sources
-    amount = water_fill(sizes, goal, total if total is not None else full_total(sizes, goal))
+    amount = water_fill(sizes, goal, total if total is not None else sum(sizes.values()))
     plan = [(s, int(amount[s] // sizes[s]), float(amount[s] % sizes[s])) for s in goal if sizes.get(s)]
     plan = d.sparkSession.createDataFrame(plan, f"{source} string, _whole int, _part double")
     w = Window.partitionBy(source).orderBy("_bucket")
@@ -121,10 +122,13 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, total: float | None
 
 
 def report(mixed: DataFrame, targets: DataFrame, source: str = "source", tokens: str = "tokens") -> DataFrame:
-    """Per source of the targets: documents drawn, tokens, target and actual share, mean and most repetitions."""
-    per = mixed.where(F.col("repeats") > 0).groupBy(source).agg(
-        F.count(F.lit(1)).alias("docs"), F.sum(F.col(tokens) * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats")
+    """Per source of the targets: its documents and tokens, what was drawn, the times its tokens were read (epochs), the
+    target and the actual share, the most repetitions of a document, and what became of the source: ``missing`` has no
+    documents, ``clamped`` stands at its cap, ``filled`` took over what the others couldn't give."""
+    per = mixed.groupBy(source).agg(
+        F.count_if(F.col("repeats") > 0).alias("docs"), F.sum(tokens).alias("own_tokens"), F.sum(F.col(tokens) * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats")
     )
-    per = targets.select(F.col("source").alias(source), "target_share", "max_repeats").join(per, source, "left").fillna(0, ["docs", "mixed_tokens", "most_repeats"])
+    per = targets.select(F.col("source").alias(source), "target_share", "max_repeats").join(per, source, "left").fillna(0, ["docs", "own_tokens", "mixed_tokens", "most_repeats"])
     whole = F.sum("mixed_tokens").over(Window.partitionBy())  # as many rows as targets
-    return per.withColumn("actual_share", F.round(F.try_divide("mixed_tokens", whole), 6))
+    state = F.when(F.col("own_tokens") == 0, "missing").when(F.col("mixed_tokens") >= F.col("own_tokens") * F.col("max_repeats"), "clamped").otherwise("filled")
+    return per.withColumns({"epochs": F.round(F.try_divide("mixed_tokens", "own_tokens"), 4), "actual_share": F.round(F.try_divide("mixed_tokens", whole), 6), "state": state})

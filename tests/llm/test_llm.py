@@ -248,6 +248,17 @@ def test_style_tree_removes_presentation(spark):
     assert markup.markup_kinds(df.limit(0), "row_id", ["full_text"]).count() == 0
 
 
+def test_style_tree_counts_pages_not_nodes(spark):
+    rows = [(0, "h", "<table><tr><td>" + "<p>ja</p>" * 9 + "</td></tr></table>", None)]
+    rows += [(i, "k", f"<p>eigen {i}</p>" + "<p>ja</p>" * 3, "<p>ja</p>") for i in range(1, 11)]
+    df = spark.createDataFrame(rows, "row_id long, feed_key string, full_text string, summary string")
+    tree = {(r.feed_key, r.path): r for r in markup.style_tree(df, "row_id", "feed_key", ["full_text", "summary"]).collect()}
+    assert tree["h", "table>tr>td>p"].pages == 1 and tree["h", "table>tr>td>p"].importance == 1
+    assert tree["k", "p"].pages == 10 and 0.3 < tree["k", "p"].importance <= 1
+    clean = {r.row_id: r.full_text_clean for r in markup.clean_fields(df, "row_id", "feed_key", ["full_text", "summary"]).collect()}
+    assert clean[0].count("ja") == 9 and clean[1].startswith("eigen 1")
+
+
 # --- look-alikes ------------------------------------------------------------------------------------------------------
 
 
@@ -293,6 +304,13 @@ def test_leaks_against_brute_force(spark, monkeypatch, by_join):
     assert {(r.doc, r.item) for r in got} == want and all(15 <= r.longest <= r.covered <= r.item_words for r in got)
 
 
+def test_tiles_of_a_text_that_repeats_itself():
+    item = (WORDS[:20] * 3)[:50]
+    doc = WORDS[:20] * 30
+    got = leaks.tiles(doc, item)
+    assert got[0][2] == 50 and sum(n for _, _, n in got) <= len(item)
+
+
 def test_tiles_catch_reordering():
     item = WORDS[:40]
     assert sorted((i, j, n) for i, j, n in leaks.tiles(item[20:] + item[:20], item)) == [(0, 20, 20), (20, 0, 20)]
@@ -306,15 +324,27 @@ def test_water_filling():
     assert got["b"] == 20 and got["x"] == 0 and sum(got.values()) == pytest.approx(120) and got["a"] == pytest.approx(2 * got["c"])
 
 
+def test_mix_clamps_and_hands_the_excess_on(spark):
+    rows = [(i, "big" if i < 900 else "small" if i < 950 else "tiny", 10) for i in range(960)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("big", 0.4, 2), ("small", 0.3, 3), ("tiny", 0.2, 2), ("ghost", 0.1, 2)], "source string, target_share double, max_repeats int")
+    rep = {r.source: r for r in mixture.report(mixture.mix(docs, targets), targets).collect()}
+    assert {s: r.state for s, r in rep.items()} == {"big": "filled", "small": "clamped", "tiny": "clamped", "ghost": "missing"}
+    assert rep["small"].epochs == 3 and rep["tiny"].most_repeats == 2 and rep["ghost"].mixed_tokens == 0
+    assert sum(r.mixed_tokens for r in rep.values()) == pytest.approx(9600, abs=10) and sum(r.actual_share for r in rep.values()) == pytest.approx(1, abs=1e-5)
+
+
 def test_mix_reaches_shares(spark):
     rows = [(i, "a" if i % 3 else "b", 10 + i % 7) for i in range(3000)] + [(9000, None, 5), (9001, "other", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
     targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.5, 3), ("ghost", 0.1, 2)], "source string, target_share double, max_repeats int")
-    m = mixture.mix(docs, targets)
+    goal = {r.source: (r.target_share, r.max_repeats) for r in targets.collect()}
+    total = mixture.full_total({"a": sum(t for _, x, t in rows if x == "a"), "b": sum(t for _, x, t in rows if x == "b")}, goal)
+    m = mixture.mix(docs, targets, total=total)
     assert m.count() == len(rows) and m.where("source is null or source = 'other'").agg(F.max("repeats")).first()[0] == 0
     rep = {r.source: r for r in mixture.report(m, targets).collect()}
     assert rep["a"].actual_share == pytest.approx(4 / 9, abs=0.01) and rep["b"].most_repeats <= 3 and rep["ghost"].mixed_tokens == 0
-    again = {r.doc_id: r.repeats for r in mixture.mix(docs.repartition(7), targets).collect()}
+    again = {r.doc_id: r.repeats for r in mixture.mix(docs.repartition(7), targets, total=total).collect()}
     assert again == {r.doc_id: r.repeats for r in m.collect()}
 
 
