@@ -95,15 +95,15 @@ def water_fill(sizes: dict[str, float], targets: dict[str, tuple[float, int]], t
     return out
 
 
-def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, total: float | None = None, doc_id: str = "doc_id", source: str = "source", tokens: str = "tokens") -> DataFrame:
-    """docs with ``repeats``, 0 where a document isn't drawn."""
+def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, total: float | None = None, doc_id: str = "doc_id", source: str = "source", tokens: str = "tokens", exact: bool = False) -> DataFrame:
+    """docs with ``repeats``, 0 where a document isn't drawn. exact: total is ``full_total``."""
     goal = {r.source: (r.target_share, r.max_repeats) for r in targets.select("source", "target_share", "max_repeats").collect()}
     wanted = F.broadcast(targets.select(F.col("source").alias(source)).distinct())  # as many rows as targets
     draw = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(seed)), F.lit(BUCKETS * 1_000_000))
     d = docs.withColumns({"_draw": draw, "_bucket": (draw / 1_000_000).cast("int")})
     per = d.join(wanted, source, "left_semi").groupBy(source, "_bucket").agg(F.sum(tokens).alias("t"))
     sizes = {r[source]: r.t for r in per.groupBy(source).agg(F.sum("t").alias("t")).collect()}  # at most the targets' sources
-    amount = water_fill(sizes, goal, total if total is not None else sum(sizes.values()))
+    amount = water_fill(sizes, goal, total if total is not None else full_total(sizes, goal) if exact else sum(x or 0 for x in sizes.values()))
     plan = [(s, int(amount[s] // sizes[s]), float(amount[s] % sizes[s])) for s in goal if sizes.get(s)]
     plan = d.sparkSession.createDataFrame(plan, f"{source} string, _whole int, _part double")
     w = Window.partitionBy(source).orderBy("_bucket")

@@ -73,15 +73,20 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return items.join(per, "item_id", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
 
 
-def _mixed(spark: SparkSession, d: str) -> DataFrame:
+def _mixed(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
     docs = mixture.token_counts(spread(table(spark, d, "documents").select("doc_id", "source", "text"))).drop("text")
-    return mixture.mix(written(docs), table(spark, d, "mix_targets"))
+    return mixture.mix(written(docs), table(spark, d, "mix_targets"), exact=exact)
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d).where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
 
 
+def p9_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The report of the largest mixture in which no source is clamped, so that every one has its share."""
+    return mixture.report(_mixed(spark, d, exact=True), table(spark, d, "mix_targets"))
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.report(_mixed(spark, d), table(spark, d, "mix_targets"))
 
@@ -97,6 +102,11 @@ def p6_corpus(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.round(F.col("n") / n, 6))
 
 
+def p6_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Per subject: rows that end with it, hand labels, and how many of these are trusted."""
+    return subjects.seed_report(table(spark, d, "nos_articles"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
     model = abuse.train(*abuse.labelled(docs, table(spark, d, "review_labels")))
@@ -118,7 +128,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     fs = [
         p1_found, p1_accepted, p2_found, p2_main_content, p3_found, p3_style_tree, p3_clean, p5_found, p5_groups,
-        p6_found, p6_corpus, p7_found, p7_consistent, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_scores,
+        p6_found, p6_corpus, p6_seeds, p7_found, p7_consistent, p8_found, p8_items, p9_mix, p9_shares, p9_exact, p10_found, p10_scores,
         p10_sources,
     ]
     return {f.__name__: f for f in fs}
