@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,23 @@ def iso_z(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def lenient_any(c: Column) -> Column:
+    """``lenient``, else the written forms that feeds use: day first with dashes, dots or slashes, and month names."""
+    t = F.regexp_replace(F.trim(c), r"^[A-Za-z]+,?\s+(?=\d)", "")
+    forms = ("d-M-yyyy HH:mm[:ss]", "d.M.yyyy HH:mm[:ss]", "d/M/yyyy HH:mm[:ss]", "d MMMM yyyy HH:mm[:ss]", "d MMM yyyy HH:mm[:ss]", "d-M-yyyy", "d MMMM yyyy")
+    return F.coalesce(lenient(c), *[F.try_to_timestamp(t, F.lit(f)) for f in forms])
+
+
+# The view's quick ranges, in days; None is the whole.
+QUICK = {"30d": 30, "90d": 90, "1y": 365, "all": None}
+
+
+def quick_range(name: str, lo, hi) -> tuple:
+    """The last days before hi, not before lo."""
+    days = QUICK[name]
+    return (lo, hi) if days is None else (max(lo, hi - timedelta(days=days)), hi)
+
+
 def clamp_range(wanted: tuple | None, lo, hi) -> tuple:
     """Each bound into [lo, hi]; a malformed or inverted range gives the whole."""
     try:

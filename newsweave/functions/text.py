@@ -1,12 +1,17 @@
-"""Text scalar functions as Column expressions (all stay inside whole-stage code generation).
+"""Text scalar functions as Column expressions. All but ``nfkc``, which Spark has no built-in for, and what uses it stay
+inside whole-stage code generation.
 
 Null texts are treated as '' wherever a text is returned; empty token lists come back as empty arrays.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Frequent Dutch function words, removed before counting terms.
 STOPWORDS = sorted(set(
@@ -26,6 +31,38 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(or_empty(c), r"[ \t\n\r\f]+", " "))
 
 
+@F.pandas_udf(StringType())
+def _nfkc(v: pd.Series) -> pd.Series:
+    return v.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility forms (full width, ligatures, fixed blanks) as plain ones; null as ''."""
+    return _nfkc(or_empty(c))
+
+
+def without_format(c: Column) -> Column:
+    """Without characters that only format, such as zero-width blanks and soft hyphens."""
+    return F.regexp_replace(or_empty(c), r"\p{Cf}", "")
+
+
+# Entities of the characters that HTML reserves, and the fixed blank.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def html_text(c: Column) -> Column:
+    """Tags to blanks, the reserved characters' entities decoded, blanks collapsed; case and punctuation stay."""
+    t = F.regexp_replace(or_empty(c), "<[^>]*>", " ")
+    for a, b in ENTITIES:
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return collapse(t)
+
+
+def geo_clean(c: Column) -> Column:
+    """HTML to text in compatibility form, case and punctuation kept: what places are looked for in."""
+    return collapse(nfkc(html_text(c)))
+
+
 def raw_text(full_text: Column, title: Column, summary: Column) -> Column:
     """full_text if it isn't blank, else title and summary."""
     own = F.trim(or_empty(full_text))
@@ -42,13 +79,8 @@ def tokens(c: Column) -> Column:
 
 
 def word_tokens(c: Column, least: int = 2) -> Column:
-    """Lower-cased ASCII words of ``least`` letters or more."""
-    return F.regexp_extract_all(F.lower(or_empty(c)), F.lit(f"[a-z]{{{least},}}"), F.lit(0))
-
-
-def unicode_tokens(c: Column) -> Column:
-    """Lower-cased words of two or more word characters of any script."""
-    return F.regexp_extract_all(F.lower(or_empty(c)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    """Lower-cased words of ``least`` letters, digits or low lines or more, of any script."""
+    return F.regexp_extract_all(F.lower(or_empty(c)), F.lit(rf"[\p{{L}}\p{{N}}_]{{{least},}}"), F.lit(0))
 
 
 def without_stopwords(ts: Column, stop: list[str] = STOPWORDS) -> Column:
@@ -65,11 +97,11 @@ def ngrams(ts: Column, lo: int, hi: int) -> Column:
     return F.concat(*[of(n) for n in range(lo, hi + 1)])
 
 
-def token_clean(c: Column) -> Column:
-    """Tags and entities out, leading ``#123 -`` out, hashtags and mentions split at capitals, other signs to blanks,
+def token_clean(c: Column, compat: bool = False) -> Column:
+    """Tags out and entities decoded, compatibility forms if wanted, leading ``#123 -`` out, hashtags and mentions split at capitals, other signs to blanks,
     collapsed, lower case, in this order."""
-    t = F.regexp_replace(or_empty(c), "<[^>]*>", " ")
-    t = F.regexp_replace(t, "&[a-z]+;", " ")
+    t = html_text(c)
+    t = nfkc(t) if compat else t
     t = F.regexp_replace(t, r"^#[0-9]+ - ", "")
     t = F.regexp_replace(t, "([#@][A-Za-z]*?[a-z])([A-Z])", "$1 $2")
     t = F.regexp_replace(t, "[^0-9A-Za-zÀ-ÖØ-öø-ÿ]+", " ")
@@ -82,7 +114,7 @@ def replace_unknown(ts: Column, vocabulary: Column) -> Column:
 
 def capitalised(c: Column) -> Column:
     """Distinct tokens that begin with a capital, lower-cased, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.filter(tokens(c), lambda x: x.rlike("^[A-Z]")), lambda x: F.lower(x))))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(tokens(c), lambda x: x.rlike(r"^\p{Lu}")), lambda x: F.lower(x))))
 
 
 def snippet(c: Column, most: int = 220) -> Column:
@@ -113,7 +145,7 @@ def parse_list(c: Column) -> Column:
 
 
 def place_key(c: Column) -> Column:
-    return F.lower(collapse(c))
+    return F.lower(collapse(nfkc(c)))
 
 
 def html_main_text(html: Column) -> Column:

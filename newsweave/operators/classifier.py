@@ -28,20 +28,35 @@ def features(word: Column) -> list[Column]:
     return base + ends + [F.startswith(low, F.lit(p)).cast("double").alias(f"b_{p}") for p in PREFIXES]
 
 
-def _featured(df: DataFrame, word: str) -> DataFrame:
-    return df.select("*", *features(F.col(word)))
-
-
-def fit(df: DataFrame, word: str = "word", label: str = "label") -> PipelineModel:
-    f = _featured(df.withColumn(label, F.col(label).cast("double")), word)
+def _featured(df: DataFrame, word: str, gazetteer: DataFrame | None = None) -> DataFrame:
+    """df with its features; with a gazetteer (name) also whether the word is a known place, and whether a part of it is."""
+    out = df.select("*", *features(F.col(word)))
+    if gazetteer is None:
+        return out
+    names = gazetteer.select(F.lower("name").alias("_n")).distinct()
+    parts = out.select(word, F.explode(F.split(F.lower(word), "[ -]")).alias("_n")).join(names, "_n", "left_semi").select(F.col(word).alias("_w")).distinct().withColumn("f_part", F.lit(1.0))
+    whole = names.withColumn("f_known", F.lit(1.0))
+    out = out.join(whole, F.lower(word) == F.col("_n"), "left").join(parts, F.col(word) == F.col("_w"), "left")
+    return out.drop("_n", "_w").fillna(0.0, ["f_known", "f_part"])
+
+
+def stratified(df: DataFrame, word: str = "word", label: str = "label", held: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(train, held out): the given percentage of each label's words, by rank of a seeded hash within a hundred buckets,
+    so that equal words fall on one side and both labels are split alike."""
+    bucket = F.pmod(F.xxhash64(F.col(word), F.col(label).cast("string"), F.lit(seed)), F.lit(100))
+    return df.where(bucket >= held), df.where(bucket < held)
+
+
+def fit(df: DataFrame, word: str = "word", label: str = "label", gazetteer: DataFrame | None = None) -> PipelineModel:
+    f = _featured(df.withColumn(label, F.col(label).cast("double")), word, gazetteer)
     names = [c for c in f.columns if c[:2] in ("f_", "e_", "b_")]
     stages = [VectorAssembler(inputCols=names, outputCol="features"), LogisticRegression(labelCol=label, regParam=0.01, maxIter=50)]
     return Pipeline(stages=stages).fit(f)
 
 
-def predict(model: PipelineModel, words: DataFrame, word: str = "word") -> DataFrame:
+def predict(model: PipelineModel, words: DataFrame, word: str = "word", gazetteer: DataFrame | None = None) -> DataFrame:
     """(word, p): each distinct word is scored once."""
-    out = model.transform(_featured(words.select(word).distinct(), word))
+    out = model.transform(_featured(words.select(word).distinct(), word, gazetteer))
     return out.select(word, vector_to_array("probability")[1].alias("p"))
 
 

@@ -1,6 +1,6 @@
 """Boolean text search and the filters of the view, as Columns.
 
-Query: blanks part terms, quotes keep a phrase, ``OR`` or ``|`` makes both neighbours alternatives, a leading ``-``
+Query: blanks part terms, quotes keep a phrase, ``OR`` (in any case) or ``|`` makes both neighbours alternatives, a leading ``-``
 excludes. A row passes if every plain term stands in some text column, at least one alternative does (if there are any)
 and no excluded term does. Terms are literal and case-insensitive; columns are searched one by one, not across.
 """
@@ -21,7 +21,7 @@ def parse_query(q: str) -> tuple[list[str], list[str], list[str]]:
         raise ValueError("unbalanced quote")
     parts = [(m[1] or "") + (m[2] if m[2] is not None else m[3]) for m in re.finditer(r'(-?)(?:"([^"]*)"|(\S+))', q)]
     every, either, none = [], [], []
-    is_or = [p in ("OR", "|") for p in parts]
+    is_or = [p.upper() in ("OR", "|") for p in parts]
     for i, p in enumerate(parts):
         if is_or[i] or not p.strip("-"):
             continue

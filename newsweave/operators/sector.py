@@ -28,6 +28,10 @@ LEXICON = [
 NOT_AFFECTED = ("volgens", "aldus", "onderzoekt", "waarschuwt", "adviseert", "meldt", "verdachte", "dader")
 
 
+#: Organisations are looked for in so many characters of an article.
+FIRST_CHARS = 5000
+
+
 def score_columns(text: Column, lexicon=LEXICON) -> list[Column]:
     low = F.lower(or_empty(text))
     return [sum((F.contains(low, F.lit(k)).cast("int") for k in ks[1:]), F.contains(low, F.lit(ks[0])).cast("int")).alias(f"s_{code}") for code, _, ks in lexicon]
@@ -59,16 +63,18 @@ def is_affected(text: Column, name: Column, cues: tuple[str, ...] = NOT_AFFECTED
     return ~((pos > 0) & hit)
 
 
-def article_sectors(df: DataFrame, key: str, text: Column, most: int = 10, lexicon=LEXICON) -> DataFrame:
-    """(key, primary, sectors, companies): each company with its sector or ``not_affected``; the primary sector is the
-    most frequent one that isn't unknown, the first seen on ties; without companies it is the article's own."""
+def article_sectors(df: DataFrame, key: str, text: Column, most: int = 10, lexicon=LEXICON, found: Column | None = None) -> DataFrame:
+    """(key, primary, primary_name, sectors, companies), to be joined to the articles: each company with its sector or ``not_affected``; the primary sector is the
+    most frequent one that isn't unknown, the first seen on ties; without companies it is the article's own. found: names by another recogniser."""
     best = best_sector(text, lexicon)
-    base = df.select(key, text.alias("_t"), best.alias("_b"), F.slice(F.array_distinct(organisations(text)), 1, most).alias("_c"))
+    names = organisations(text, FIRST_CHARS) if found is None else found
+    base = df.select(key, text.alias("_t"), best.alias("_b"), F.slice(names, 1, most).alias("_c"))
     comp = F.transform(
         "_c",
         lambda c: F.struct(
             c.alias("company_name"),
             F.when(is_affected(F.col("_t"), c), F.col("_b.code")).otherwise("not_affected").alias("sector_code"),
+            F.when(is_affected(F.col("_t"), c), F.col("_b.name")).otherwise("Not affected").alias("sector_name"),
             is_affected(F.col("_t"), c).alias("is_victim"),
         ),
     )
@@ -78,7 +84,9 @@ def article_sectors(df: DataFrame, key: str, text: Column, most: int = 10, lexic
     counted = F.transform(F.array_distinct(known), lambda x: F.struct(F.size(F.filter(known, lambda y: y == x)).alias("n"), (-F.array_position(known, x)).alias("p"), x.alias("code")))
     primary = F.when(F.size("companies") == 0, F.col("_b.code")).when(F.size(known) == 0, "unknown").otherwise(F.array_max(counted)["code"])
     sectors = F.when(F.size("companies") == 0, F.array("_b.code")).otherwise(codes)
-    return base.select(key, primary.alias("primary"), F.array_sort(F.array_distinct(F.filter(sectors, lambda x: x != "unknown"))).alias("sectors"), "companies")
+    named = F.create_map(*[F.lit(x) for c, n, _ in lexicon for x in (c, n)], F.lit("unknown"), F.lit("Unknown"), F.lit("not_affected"), F.lit("Not affected"))
+    base = base.withColumn("primary", primary)
+    return base.select(key, "primary", named[F.col("primary")].alias("primary_name"), F.array_sort(F.array_distinct(F.filter(sectors, lambda x: x != "unknown"))).alias("sectors"), "companies")
 
 
 def report(sectors: DataFrame) -> DataFrame:
@@ -87,3 +95,29 @@ def report(sectors: DataFrame) -> DataFrame:
 
     per = sectors.groupBy("primary").agg(F.count(F.lit(1)).alias("articles"), F.sum(F.size("companies")).alias("companies"))
     return per.withColumn("percent", F.round(F.col("articles") * 100.0 / F.sum("articles").over(Window.partitionBy()), 4))
+
+
+def totals(sectors: DataFrame) -> DataFrame:
+    """One row over all articles: how many are classified, have companies, name several sectors, and of the companies."""
+    n, c = F.count(F.lit(1)), F.sum(F.size("companies"))
+    known = F.sum(F.size(F.filter("companies", lambda x: x["sector_code"] != "unknown")))
+    pct = lambda a, b: F.coalesce(F.round(F.try_divide(a * 100.0, b), 4), F.lit(0.0))
+    classified, with_companies, multi = F.count_if(F.expr("primary <> 'unknown'")), F.count_if(F.expr("size(companies) > 0")), F.count_if(F.expr("size(sectors) > 1"))
+    return sectors.agg(
+        n.alias("articles"), classified.alias("classified"), pct(classified, n).alias("classified_pct"), with_companies.alias("with_companies"), F.coalesce(c, F.lit(0)).alias("companies"),
+        F.coalesce(known, F.lit(0)).alias("companies_classified"), pct(known, c).alias("companies_classified_pct"), multi.alias("multi_sector"), F.coalesce(F.round(F.try_divide(c, n), 4), F.lit(0.0)).alias("mean_companies"),
+    )
+
+
+def samples(sectors: DataFrame, key: str, articles: int = 3, companies: int = 5, each: int = 2) -> DataFrame:
+    """(kind, key, what): the first articles of several sectors, and the first classified companies, at most ``each`` of
+    an article."""
+    multi = sectors.where("size(sectors) > 1").orderBy(key).limit(articles).select(F.lit("article").alias("kind"), key, F.array_join("sectors", ", ").alias("what"))
+    named = sectors.select(key, F.posexplode(F.slice("companies", 1, each)).alias("p", "c")).where("c.sector_code <> 'unknown'").orderBy(key, "p").limit(companies)
+    return multi.unionByName(named.select(F.lit("company").alias("kind"), key, F.concat_ws(" ", "c.company_name", "c.sector_code").alias("what")))
+
+
+def label(code: Column, name: Column, show_codes: bool) -> Column:
+    """The name of a sector for a list of options, with its code if wanted."""
+    name = F.coalesce(name, F.lit("Unclassified"))
+    return F.concat(name, F.lit(" ("), code, F.lit(")")) if show_codes else name

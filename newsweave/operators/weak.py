@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsweave.functions.text import or_empty
+from newsweave.session import dropped, written
 
 ABSTAIN, NO, YES = -1, 0, 1
 
@@ -87,45 +88,44 @@ class LabelModel:
     rules: list[str]
     given: list[dict[int, tuple[float, float]]]
 
-    def posterior(self) -> Column:
-        """P(y=1 | votes) as an expression: the sigmoid of a sum of log-ratios; abstentions carry nothing."""
+    def posterior(self, abstain: bool = False) -> Column:
+        """P(y=1 | votes) as an expression: the sigmoid of a sum of log-ratios; abstentions carry nothing, but in fitting."""
         z = F.lit(math.log(self.prior / (1 - self.prior)))
         for name, g in zip(self.rules, self.given):
-            for v in (NO, YES):
+            for v in (ABSTAIN, NO, YES) if abstain else (NO, YES):
                 p0, p1 = g[v]
                 z = z + F.when(F.col(name) == v, math.log(p1 / p0)).otherwise(0.0)
         return 1 / (1 + F.exp(-z))
 
 
 def fit(voted: DataFrame, rules: list[Rule] = RULES, iterations: int = 20, prior: float = 0.5, smooth: float = 1.0) -> LabelModel:
-    """EM from majority votes with a fixed prior. At most 3 ** rules distinct patterns exist; in practice a few hundred are collected."""
+    """EM from majority votes with a fixed prior, over the table of distinct vote patterns: every step is one aggregate of
+    three sums a rule, so nothing is collected but these."""
     names = [r.name for r in rules]
-    patterns = [tuple(row[n] for n in names) + (row["n"],) for row in voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]
-    total = sum(p[-1] for p in patterns)
-    q = []
-    for p in patterns:
-        yes, no = sum(v == YES for v in p[:-1]), sum(v == NO for v in p[:-1])
-        q.append(0.5 if yes == no else (0.9 if yes > no else 0.1))
-    given: list[dict[int, tuple[float, float]]] = []
-    pi = prior
+    patterns = written(voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")))
+    votes_for = lambda v: sum((F.when(F.col(c) == v, 1).otherwise(0) for c in names[1:]), F.when(F.col(names[0]) == v, 1).otherwise(0))
+    yes, no = votes_for(YES), votes_for(NO)
+    q = F.when(yes > no, 0.9).when(yes < no, 0.1).otherwise(0.5)
+    model = LabelModel(prior, names, [])
     for _ in range(iterations):
-        mass1 = sum(p[-1] * x for p, x in zip(patterns, q))
-        mass0 = total - mass1
-        given = []
-        for i in range(len(names)):
+        sums = [F.sum(F.col("n") * q).alias("m1"), F.sum(F.col("n") * (1 - q)).alias("m0")]
+        for c in names:
+            for v in (ABSTAIN, NO, YES):
+                here = F.when(F.col(c) == v, F.col("n")).otherwise(0)
+                sums += [F.sum(here * q).alias(f"{c}:{v}:1"), F.sum(here * (1 - q)).alias(f"{c}:{v}:0")]
+        got = patterns.agg(*sums).first()
+        mass1, mass0 = got["m1"] or 0.0, got["m0"] or 0.0
+        model.given = []
+        for c in names:
             g = {}
             for v in (ABSTAIN, NO, YES):
-                a1 = sum(p[-1] * x for p, x in zip(patterns, q) if p[i] == v)
-                a0 = sum(p[-1] * (1 - x) for p, x in zip(patterns, q) if p[i] == v)
-                p0, p1 = (a0 + smooth) / (mass0 + 3 * smooth), (a1 + smooth) / (mass1 + 3 * smooth)
+                p0, p1 = ((got[f"{c}:{v}:0"] or 0.0) + smooth) / (mass0 + 3 * smooth), ((got[f"{c}:{v}:1"] or 0.0) + smooth) / (mass1 + 3 * smooth)
                 # a vote never counts against what it says
                 g[v] = (p0, max(p0, p1)) if v == YES else (max(p0, p1), p1) if v == NO else (p0, p1)
-            given.append(g)
-        q = []
-        for p in patterns:
-            z = math.log(pi / (1 - pi)) + sum(math.log(g[v][1] / g[v][0]) for g, v in zip(given, p[:-1]))
-            q.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-    return LabelModel(pi, names, given)
+            model.given.append(g)
+        q = model.posterior(abstain=True)
+    dropped(patterns)
+    return model
 
 
 def fixed_model(rules: list[Rule] = RULES, accuracy: float = 0.8, prior: float = 0.5) -> LabelModel:

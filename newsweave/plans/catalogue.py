@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsweave.functions import dates, text
-from newsweave.operators import geo, ingest, keywords, sector, similarity, timestamps, weak
+from newsweave.functions import compounds, dates, text
+from newsweave.operators import classifier, geo, ingest, keywords, presets, sector, similarity, timestamps, weak
 from newsweave.operators.search import FilterSpec, matches
 from newsweave.plans import oracle
-from newsweave.session import spread, table
+from newsweave.session import spread, table, written
 
 BOXES = [(50.7, 5.0, 51.8, 6.3), (52.2, 6.0, 53.3, 7.1), (51.2, 3.3, 51.8, 4.3)]
 FOCUS = ["inbraak", "droogte", "ransomware", "griepgolf", "faillissement"]
@@ -43,16 +44,29 @@ def rows_without_url(spark, d):
     return _articles(spark, d).groupBy("feed_key").agg(F.count_if(none).alias("without_url"), F.count(F.lit(1)).alias("n"))
 
 
+#: Rules of the test feeds, in order.
+FEED_RULES = [("starts", "beekdal dagblad", "Beekdal Dagblad"), ("starts", "l3", "L3"), ("has", "omroep", "Omroep"), ("has", "koerier", "Koerier")]
+
+
 def feed_alias(spark, d):
-    """Exact alias, else the spelling without case, doubled blanks and site ending; then ordered prefix rules."""
-    key = F.lower(text.collapse(F.regexp_replace(F.coalesce("feed", F.lit("")), r"\.example$", "")))
-    named = (
-        F.when(F.startswith(key, F.lit("beekdal dagblad")), "Beekdal Dagblad").when(F.startswith(key, F.lit("l3")), "L3").when(F.contains(key, F.lit("omroep")), "Omroep")
-        .when(F.contains(key, F.lit("koerier")), "Koerier").when(key == "", F.lit(None)).otherwise(key)
-    )
+    """Without compatibility forms, which SQL hasn't; feed_alias_fuzzy has them."""
+    named = ingest.fuzzy_feed(F.col("feed"), FEED_RULES, compat=False)
     return _articles(spark, d).groupBy("feed_key", named.alias("alias")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def feed_alias_fuzzy(spark, d):
+    named = ingest.fuzzy_feed(F.col("feed"), FEED_RULES)
+    return _articles(spark, d).groupBy("feed_key", named.alias("alias")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def feed_alias_exact(spark, d):
+    """By an alias table: each spelling stands for the most frequent one of its feed."""
+    per = _articles(spark, d).where("feed is not null").groupBy("feed_key", F.trim("feed").alias("alias")).agg(F.count(F.lit(1)).alias("n"))
+    best = per.groupBy("feed_key").agg(F.min(F.struct((-F.col("n")).alias("n"), "alias"))["alias"].alias("canonical"))
+    aliases = per.where("n > 1").join(best, "feed_key").select("alias", "canonical")
+    return ingest.canonical_feed(_articles(spark, d).select("row_id", "feed"), aliases).select("row_id", "canonical")
+
+
 def rfc822_parse(spark, d):
     rows = _articles(spark, d).where(F.col("published").rlike("^[A-Z][a-z]{2}, [0-9]{1,2} [A-Z][a-z]{2} [0-9]{4} [0-9:]{8} (GMT|[+-][0-9]{4})$"))
     return rows.select("row_id", F.unix_timestamp(dates.rfc822(F.col("published"))).alias("epoch"), F.unix_timestamp(dates.rfc822(F.col("published"), strict=True)).alias("epoch_strict"))
@@ -92,7 +106,7 @@ def url_keyed_merge(spark, d):
     old = table(spark, d, "cache_single").select("url", "title")
     firsts = new.groupBy("url").agg(F.min(F.struct("row_id", "title")).alias("m")).select("url", "m.title", F.lit("new").alias("side"))
     olds = old.groupBy("url").agg(F.min("title").alias("title")).select("url", "title", F.lit("old").alias("side"))
-    return ingest.keyed_union(firsts, olds, "url").groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("title")).alias("title_chars"))
+    return ingest.keyed_union(firsts, olds, "url").select("url", "side", "title")
 
 
 def raw_url_dedup(spark, d):
@@ -103,7 +117,7 @@ def result_cache_split(spark, d):
     b = ingest.with_ids(table(spark, d, "merge_batch")).select("row_id", "id")
     cache = table(spark, d, "cache_single").select("id", F.lit("cached").alias("state"))
     both = ingest.enrich_missing(b, cache, lambda x: x.select("id", F.lit("enriched").alias("state")))
-    return both.groupBy("state").agg(F.countDistinct("id").alias("ids"))
+    return both.select("id", "state").distinct()
 
 
 def source_type_default(spark, d):
@@ -121,7 +135,20 @@ def latest_per_source(spark, d):
 
 def union_distinct(spark, d):
     a = _articles(spark, d).select("feed_key", "url", "title")
-    return a.unionByName(table(spark, d, "merge_batch").select("feed_key", "url", "title")).distinct().groupBy("feed_key").agg(F.count(F.lit(1)).alias("n"))
+    return a.unionByName(table(spark, d, "merge_batch").select("feed_key", "url", "title")).distinct()
+
+
+def run_state(spark, d):
+    """Cursor, count, run time and file of every feed after a run over the accepted articles."""
+    state = table(spark, d, "rss_state").select("feed_key", F.try_to_timestamp("last_published_ts").alias("cursor"), "last_file")
+    kept = table(spark, d, "cache_single").withColumn("ts", F.try_to_timestamp("published_ts"))
+    files = kept.select("feed_key", F.concat("feed_key", F.lit(".json")).alias("last_file"))
+    out = ingest.run_state(state, kept, "feed_key", F.col("ts"), F.lit("2026-01-31 12:00:00").cast("timestamp"), files)
+    return out.select("feed_key", F.unix_timestamp("cursor").alias("cursor"), "added", dates.iso_z(F.col("last_run_ts")).alias("last_run_ts"), "last_file")
+
+
+def seen_ids(spark, d):
+    return ingest.seen_ids(table(spark, d, "cache_single"))
 
 
 # --- text -----------------------------------------------------------------------------------------------------------
@@ -141,10 +168,28 @@ def token_clean(spark, d):
     return table(spark, d, "cache_single").select("id", F.md5(text.token_clean(F.col("title"))).alias("digest"))
 
 
+def token_clean_compat(spark, d):
+    """With compatibility forms, which SQL hasn't."""
+    return table(spark, d, "cache_single").select("id", text.token_clean(F.concat_ws(" ", "title", "summary", "full_text"), compat=True).alias("clean"))
+
+
+def geo_clean(spark, d):
+    t = text.raw_text(F.col("full_text"), F.col("title"), F.col("summary"))
+    return _articles(spark, d).select("row_id", text.geo_clean(t).alias("clean"))
+
+
+def hashtag_split(spark, d):
+    """The first three words of each title as one hashtag, split again by the costs of the corpus's words."""
+    words = text.word_tokens(F.col("text"))
+    counts = table(spark, d, "documents").select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    tag = F.concat(F.lit("#"), F.array_join(F.slice(text.word_tokens(F.col("title"), 2), 1, 3), ""))
+    a = _articles(spark, d).select("row_id", tag.alias("tag"))
+    return a.select("row_id", "tag", F.array_join(compounds.split_compound(F.col("tag"), compounds.word_costs(counts), a), " ").alias("words"))
+
+
 def ngram_counts(spark, d):
     g = text.ngrams(text.word_tokens(F.col("title")), 1, 3)
-    per = _articles(spark, d).select(F.explode(g).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    return per.where("n > 1")
+    return _articles(spark, d).select(F.explode(g).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stopword_removal(spark, d):
@@ -157,11 +202,6 @@ def _vocab_counts(spark, d):
 
 
 def vocab_topk(spark, d):
-    """1,000 terms, as its SQL has it; the whole vocabulary is vocab_full."""
-    return keywords.vocabulary(_vocab_counts(spark, d), 1000)
-
-
-def vocab_full(spark, d):
     return keywords.vocabulary(_vocab_counts(spark, d))
 
 
@@ -171,12 +211,16 @@ def _oov(words, vocab):
 
 
 def oov_rate(spark, d):
-    """Against the 1,000 terms of vocab_topk, as its SQL has it."""
     return _oov(_vocab_words(spark, d), vocab_topk(spark, d))
 
 
-def oov_rate_full(spark, d):
-    return _oov(_vocab_words(spark, d), vocab_full(spark, d))
+def oov_replaced(spark, d):
+    """The tokens of each text with ``<unk>`` for what isn't among the 500 most frequent, and how many that are."""
+    known = keywords.vocabulary(_vocab_counts(spark, d), 500).select("term").withColumn("known", F.lit(1))
+    each = table(spark, d, "documents").select("doc_id", F.posexplode(text.word_tokens(F.col("text"))).alias("pos", "term")).join(known, "term", "left")
+    token = F.when(F.col("known") == 1, F.col("term")).otherwise("<unk>")
+    per = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", token.alias("t")))).alias("ts"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    return per.select("doc_id", F.md5(F.array_join(F.transform("ts", lambda x: x["t"]), " ")).alias("digest"), "unknown")
 
 
 def _vocab_words(spark, d):
@@ -219,31 +263,60 @@ def gazetteer_build(spark, d):
     return _gazetteer(spark, d)
 
 
+COUNTRIES = ["NL", "BE", "DE"]
+
+
+def _raw():
+    return text.raw_text(F.col("full_text"), F.col("title"), F.col("summary"))
+
+
 def _places(spark, d):
-    t = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
-    return geo.mentions(_articles(spark, d), "row_id", t, _gazetteer(spark, d))
+    """Places of up to three words in the article's whole text."""
+    return geo.mentions(_articles(spark, d), "row_id", _raw(), _gazetteer(spark, d), longest=3)
 
 
 def place_mentions(spark, d):
     return _places(spark, d)
 
 
+def _votes_of_places(spark, d):
+    return geo.country_vote(_places(spark, d), "row_id", _gazetteer(spark, d), COUNTRIES, docs=_articles(spark, d).select("row_id"))
+
+
 def country_vote(spark, d):
-    return geo.country_vote(_places(spark, d), "row_id", _gazetteer(spark, d), ["NL", "BE", "DE"])
+    named = F.array_join(F.transform("evidence", lambda e: F.concat(e["place"], F.lit(":"), e["country"])), "|")
+    return _votes_of_places(spark, d).select("row_id", "country", "score", named.alias("evidence"))
 
 
 def country_filter(spark, d):
-    v = country_vote(spark, d)
-    return v.where(F.col("country").isin("NL", "BE") & (F.col("score") >= 0.6)).groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    return geo.by_country(_votes_of_places(spark, d), ["NL", "BE"]).select("row_id", "country", "score")
+
+
+CONTEXT = ["inbraak", "ransomware", "datalek", "brandstichting", "afpersing", "faillissement", "beheer", "advies"]
 
 
 def place_narrowing(spark, d):
-    context = ["inbraak", "ransomware", "datalek", "brandstichting", "afpersing", "faillissement", "beheer", "advies"]
-    return geo.narrow(_articles(spark, d).select("row_id", F.col("summary").alias("text")), "row_id", "text", geo.mentions(_articles(spark, d), "row_id", F.col("summary"), _gazetteer(spark, d)), context)
+    return geo.narrow(_articles(spark, d).select("row_id", _raw().alias("text")), "row_id", "text", _places(spark, d), CONTEXT)
+
+
+def narrowing_stats(spark, d):
+    return geo.narrowing_stats(_articles(spark, d), "row_id", _places(spark, d), place_narrowing(spark, d))
 
 
 def bbox_first(spark, d):
-    return geo.first_located(_places(spark, d), "row_id", table(spark, d, "geocode_cache"), BOXES)
+    carried = _articles(spark, d).select("row_id", "title", "url", "feed", "published", sector.best_sector(_raw())["code"].alias("sector"))
+    return geo.first_located(_places(spark, d), "row_id", table(spark, d, "geocode_cache"), BOXES, carried)
+
+
+def place_classifier(spark, d):
+    """Capitalised words of the articles scored by a model of the gazetteer's names against other capitalised words."""
+    g = _gazetteer(spark, d)
+    words = _articles(spark, d).select(F.explode(F.regexp_extract_all(_raw(), F.lit(r"\b[A-Z][a-z]{3,}\b"), F.lit(0))).alias("word")).distinct()
+    labelled = words.join(g.select(F.col("name").alias("_n"), F.lit(1).alias("label")), F.lower("word") == F.col("_n"), "left").fillna(0, ["label"]).select("word", "label")
+    train, held = classifier.stratified(labelled, "word", "label")
+    scored = classifier.predict(classifier.fit(train), held)
+    pred = held.join(scored, "word").withColumn("pred", (F.col("p") > 0.5).cast("int"))
+    return classifier.report(pred, "label", "pred")
 
 
 def heatmap(spark, d):
@@ -251,16 +324,11 @@ def heatmap(spark, d):
 
 
 def map_funnel(spark, d):
-    a = _articles(spark, d).select("row_id")
-    p = _places(spark, d).select("row_id").distinct().withColumn("p", F.lit(1))
-    b = bbox_first(spark, d).select("row_id").withColumn("b", F.lit(1))
-    j = a.join(p, "row_id", "left").join(b, "row_id", "left")
-    return j.agg(F.count(F.lit(1)).alias("rows"), F.count("p").alias("with_place"), F.count("b").alias("plotted"))
+    return geo.map_funnel(_articles(spark, d), "row_id", _places(spark, d), table(spark, d, "geocode_cache"), BOXES)
 
 
 def geo_missing(spark, d):
-    t = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
-    named = _articles(spark, d).select(F.explode(F.regexp_extract_all(t, F.lit("in ([A-Z][a-z]+)"), F.lit(1))).alias("place"))
+    named = _articles(spark, d).select(F.explode(F.regexp_extract_all(_raw(), F.lit("in ([A-Z][a-z]+)"), F.lit(1))).alias("place"))
     return geo.missing_places(named, table(spark, d, "geocode_cache"), ["maandag", "dinsdag", "woensdag", "donderdag", "vrijdag", "zaterdag", "zondag", "vandaag"])
 
 
@@ -312,26 +380,51 @@ def label_model_em(spark, d):
 
 
 def sector_scores(spark, d):
-    return table(spark, d, "cache_single").select("id", *sector.score_columns(F.col("summary")))
+    return table(spark, d, "cache_single").select("id", *sector.score_columns(_raw()))
 
 
 def sector_best(spark, d):
-    b = sector.best_sector(F.col("summary"))
+    b = sector.best_sector(_raw())
     return table(spark, d, "cache_single").select("id", b["code"].alias("code"), b["name"].alias("name"), b["score"].cast("int").alias("score"))
 
 
+def _sectors(spark, d):
+    """Written once: the expressions of the companies are long, and several columns are made from them."""
+    return written(sector.article_sectors(table(spark, d, "cache_single"), "id", _raw()))
+
+
 def sector_primary(spark, d):
-    s = sector.article_sectors(table(spark, d, "cache_single"), "id", F.col("summary"))
-    return s.select("id", "primary", F.array_join("sectors", "|").alias("sectors"), F.size("companies").alias("companies"))
+    return _sectors(spark, d).select("id", "primary", "primary_name", F.array_join("sectors", "|").alias("sectors"), F.size("companies").alias("companies"))
+
+
+def sector_columns(spark, d):
+    """The articles with their sector columns appended."""
+    a = table(spark, d, "cache_single").select("id", "title", "feed_key")
+    return a.join(_sectors(spark, d), "id").select("id", "title", "feed_key", "primary", "primary_name", F.array_join("sectors", "|").alias("sectors"), F.size("companies").alias("companies"))
 
 
 def sector_report(spark, d):
-    return sector.report(sector.article_sectors(table(spark, d, "cache_single"), "id", F.col("summary")))
+    return sector.report(_sectors(spark, d))
+
+
+def sector_totals(spark, d):
+    return sector.totals(_sectors(spark, d))
+
+
+def sector_samples(spark, d):
+    return sector.samples(_sectors(spark, d), "id")
+
+
+def sector_options(spark, d):
+    """The sectors that occur, as they are listed with and without their codes."""
+    s = _sectors(spark, d).select("primary", "primary_name").distinct()
+    return s.select("primary", sector.label(F.col("primary"), F.col("primary_name"), True).alias("with_code"), sector.label(F.col("primary"), F.col("primary_name"), False).alias("plain"))
 
 
 def victim_window(spark, d):
-    c = table(spark, d, "cache_single").select("id", F.col("summary").alias("t"), F.explode(F.slice(F.array_distinct(sector.organisations(F.col("summary"))), 1, 10)).alias("name"))
-    return c.select("id", "name", sector.is_affected(F.col("t"), F.col("name")).alias("affected"))
+    named = F.posexplode(F.slice(sector.organisations(_raw(), sector.FIRST_CHARS), 1, 10)).alias("at", "name")
+    c = table(spark, d, "cache_single").select("id", _raw().alias("t"), named)
+    return c.select("id", "at", "name", sector.is_affected(F.col("t"), F.col("name")).alias("affected"))
 
 
 # --- keywords, trends, views --------------------------------------------------------------------------------------------
@@ -340,6 +433,7 @@ def victim_window(spark, d):
 def _weights(spark, d, smooth=False):
     docs = table(spark, d, "documents")
     counts = keywords.term_counts(docs, "doc_id", text.without_stopwords(text.word_tokens(F.col("text"), 3)))
+    counts = written(counts.join(keywords.vocabulary(counts).select("term"), "term", "left_semi"))  # read four times
     return keywords.tfidf(counts, "doc_id", counts.agg(F.countDistinct("doc_id").alias("n")), smooth)
 
 
@@ -379,6 +473,30 @@ def text_search(spark, d):
     return _articles(spark, d).where(matches(q, [F.coalesce(c, F.lit("")) for c in ("title", "summary", "full_text")])).select("row_id")
 
 
+#: One query of each kind that the parser knows.
+SEARCHES = {
+    "and": "inbraak politie", "or": "inbraak OR ransomware", "or_lower": "inbraak or ransomware", "bar": "inbraak | droogte", "not": "inbraak -museum",
+    "phrase": '"in de nacht"', "mixed": "gemeente inbraak OR droogte OR ransomware", "only_not": "-de",
+}
+
+
+def search_cases(spark, d):
+    cols = [F.coalesce(c, F.lit("")) for c in ("title", "summary", "full_text")]
+    hits = F.array(*[F.when(matches(q, cols), F.lit(k)) for k, q in SEARCHES.items()])
+    return _articles(spark, d).select("row_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("kind"))
+
+
+def preset_roundtrip(spark, d):
+    """A filter that was saved, loaded and applied; saved a second time and deleted, which changes nothing."""
+    store = presets.PresetStore(os.path.join(tempfile.mkdtemp(), "presets.json"))
+    spec = FilterSpec(text="inbraak OR droogte", feeds=presets.clean_selection(["bd", "l3", "bd", "x"], ["bd", "l3", "rtv_oever"]), dates=None)
+    store.save("mine", spec)
+    store.save("other", presets.reset())
+    store.delete("other")
+    df = _articles(spark, d)
+    return store.load("mine").apply(df, ["title", "summary", "full_text"], feed="feed_key").select("row_id", "feed_key")
+
+
 def filter_combo(spark, d):
     spec = FilterSpec(text="de", feeds=["bd", "l3", "rtv_oever"], min_score=0.15, dates=("2025-01-01", "2025-12-31"))
     voted = _voted(spark, d).withColumn("score", weak.fixed_model().posterior()).withColumn("date", dates.rfc822(F.col("published")))
@@ -386,7 +504,7 @@ def filter_combo(spark, d):
 
 
 def sector_filter(spark, d):
-    s = sector.article_sectors(table(spark, d, "cache_single"), "id", F.col("summary"))
+    s = _sectors(spark, d)
     return FilterSpec(sectors=["J", "K"]).apply(s, ["primary"], sector="primary", mentioned="sectors").select("id", "primary")
 
 
@@ -396,11 +514,15 @@ def place_tag_filter(spark, d):
 
 
 def quick_range(spark, d):
-    """Orders of the last 90 days before the newest one, per day."""
+    """Orders of each quick range before the newest one, per day."""
     o = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"))
     hi = o.agg(F.max("day").alias("hi"), F.min("day").alias("lo")).first()
-    lo, top = dates.clamp_range((hi.hi - timedelta(days=90), hi.hi), hi.lo, hi.hi)
-    return o.where(F.col("day").between(lo, top)).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    inside = []
+    for name in dates.QUICK:
+        lo, top = dates.clamp_range(dates.quick_range(name, hi.lo, hi.hi), hi.lo, hi.hi)
+        inside.append(F.when(F.col("day").between(lo, top), F.lit(name)))
+    each = o.select("day", F.explode(F.filter(F.array(*inside), lambda x: x.isNotNull())).alias("range"))
+    return each.groupBy("range", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def date_bounds(spark, d):
@@ -420,6 +542,18 @@ def spotlight(spark, d):
     return both.dropDuplicates(["c_custkey"])
 
 
+def spotlight_table(spark, d):
+    """Accepted articles of one province and the five newest, once each, as the view lists them."""
+    a = table(spark, d, "cache_single").withColumn("ts", F.try_to_timestamp("published_ts"))
+    near = table(spark, d, "geocode_cache").where(geo.in_boxes(F.col("lat"), F.col("lon"), BOXES[:1])).select(text.place_key(F.col("place")).alias("_k")).distinct()
+    inside = geo.mentions(a, "id", _raw(), _gazetteer(spark, d), longest=3).withColumn("_k", text.place_key(F.col("place"))).join(near, "_k", "left_semi").select("id")
+    top = a.where("ts is not null").orderBy(F.desc("ts"), "id").limit(5).select("id")
+    rows = a.where("ts is not null").join(inside.unionAll(top).distinct(), "id", "left_semi")
+    now = F.lit("2026-12-31 00:00:00").cast("timestamp")
+    named = sector.best_sector(_raw())["name"].alias("sector")
+    return rows.select("id", F.col("feed_key").alias("source"), "title", named, F.date_format("ts", "yyyy-MM-dd HH:mm").alias("date"), text.age_text(F.col("ts"), now).alias("age"), "url")
+
+
 def alphanumeric_order(spark, d):
     t = table(spark, d, "part").select("p_name").distinct()
     w = Window.orderBy(~F.col("p_name").rlike("^[0-9]"), F.lower("p_name"), "p_name")
@@ -439,7 +573,7 @@ def title_jaccard_pairs(spark, d):
 
 
 def entity_jaccard_pairs(spark, d):
-    return similarity.jaccard_pairs(_titles(spark, d), "id", "entities", 0.5).withColumn("sim", F.round("sim", 6))
+    return similarity.jaccard_pairs(_titles(spark, d), "id", "entities", 0.3).withColumn("sim", F.round("sim", 6))
 
 
 def cosine_pairs(spark, d):
@@ -458,7 +592,7 @@ def cosine_all_pairs(spark, d):
 
 
 def _title_weights(spark, d):
-    t = table(spark, d, "cache_single").select("id", text.ngrams(text.word_tokens(text.weighted_text(F.col("title"), F.lit(None).cast("string"), 1), 2), 1, 3).alias("g"))
+    t = table(spark, d, "cache_single").select("id", text.ngrams(text.word_tokens(text.weighted_text(F.col("title"), F.col("summary"), 3), 2), 1, 3).alias("g"))
     counts = t.select("id", F.explode("g").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     vocab = keywords.vocabulary(counts, 1000).select("term")
     kept = counts.join(vocab, "term", "left_semi")
@@ -512,19 +646,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_masks(spark, d):
-    return timestamps.mask_census(_articles(spark, d), "published")
+    both = [timestamps.mask_census(_articles(spark, d), c).withColumn("field", F.lit(c)) for c in ("published", "scraped_at")]
+    return both[0].unionByName(both[1])
 
 
 def queries() -> dict:
     fs = [
-        url_canonical_id, url_dedup_first, url_anti_seen, rows_without_url, feed_alias, rfc822_parse, iso_z_format, cursor_overlap_filter,
+        url_canonical_id, url_dedup_first, url_anti_seen, rows_without_url, feed_alias, feed_alias_fuzzy, feed_alias_exact, rfc822_parse, iso_z_format, cursor_overlap_filter,
         cursor_state_update, merge_counters, url_keyed_merge, raw_url_dedup, result_cache_split, source_type_default, head_per_source,
-        latest_per_source, union_distinct, raw_text_choice, whitespace_tokens, token_clean, ngram_counts, stopword_removal, vocab_topk,
-        vocab_full, oov_rate, oov_rate_full, capitalised_tokens, snippets, age_strings, html_escaped, list_parsing, gazetteer_build, place_mentions, country_vote,
-        country_filter, place_narrowing, bbox_first, heatmap, map_funnel, geo_missing, province_membership, rule_votes, rule_coverage,
-        posterior_filter, adaptive_label, two_layer_filter, label_model_em, sector_scores, sector_best, sector_primary, sector_report,
-        victim_window, tfidf_top10, keyword_global_top20, keyword_stats, keyword_trend, order_trend, split_by_hash, text_search,
-        filter_combo, sector_filter, place_tag_filter, quick_range, date_bounds, feed_options, spotlight, alphanumeric_order,
+        latest_per_source, union_distinct, run_state, seen_ids, raw_text_choice, whitespace_tokens, token_clean, token_clean_compat, geo_clean, hashtag_split, ngram_counts, stopword_removal, vocab_topk,
+        oov_rate, oov_replaced, capitalised_tokens, snippets, age_strings, html_escaped, list_parsing, gazetteer_build, place_mentions, country_vote,
+        country_filter, place_narrowing, narrowing_stats, place_classifier, bbox_first, heatmap, map_funnel, geo_missing, province_membership, rule_votes, rule_coverage,
+        posterior_filter, adaptive_label, two_layer_filter, label_model_em, sector_scores, sector_best, sector_primary, sector_columns, sector_report, sector_totals, sector_samples, sector_options,
+        victim_window, tfidf_top10, keyword_global_top20, keyword_stats, keyword_trend, order_trend, split_by_hash, text_search, search_cases, preset_roundtrip,
+        filter_combo, sector_filter, place_tag_filter, quick_range, date_bounds, feed_options, spotlight, spotlight_table, alphanumeric_order,
         title_jaccard_pairs, entity_jaccard_pairs, cosine_pairs, cosine_all_pairs, tfidf_title_weights, dup_edges, leader_clusters, cluster_stats,
         cluster_rollup, exact_copies, p4_found, p4_masks,
     ]

@@ -13,7 +13,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, DataSourceStreamReader
 
 SCHEMA = "feed_key string, feed string, title string, url string, published string, summary string, pos int"
 
@@ -59,26 +59,27 @@ class _Reader(DataSourceReader):
             yield from read_feed(partition.path, self.most)
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    """Files are taken in order of name; the offset is the last name read."""
+class _Stream(DataSourceStreamReader):
+    """Files are taken in order of name; the offset is the last name seen. The driver lists names, tasks read files, one
+    partition a file."""
 
     def __init__(self, options):
         self.path, self.most = options["path"], int(options.get("maxItems", 30))
 
+    def _names(self) -> list[str]:
+        return sorted(os.path.basename(p) for p in glob.glob(os.path.join(self.path, "*.xml")))
+
     def initialOffset(self):
         return {"last": ""}
 
-    def _after(self, start: dict, end: dict | None = None) -> list[str]:
-        names = sorted(os.path.basename(p) for p in glob.glob(os.path.join(self.path, "*.xml")))
-        return [n for n in names if n > start["last"] and (end is None or n <= end["last"])]
+    def latestOffset(self):
+        return {"last": (self._names() or [""])[-1]}
 
-    def read(self, start):
-        names = self._after(start)
-        rows = [r for n in names for r in read_feed(os.path.join(self.path, n), self.most)]
-        return iter(rows), {"last": names[-1] if names else start["last"]}
+    def partitions(self, start, end):
+        return [_File(os.path.join(self.path, n)) for n in self._names() if start["last"] < n <= end["last"]]
 
-    def readBetweenOffsets(self, start, end):
-        return iter([r for n in self._after(start, end) for r in read_feed(os.path.join(self.path, n), self.most)])
+    def read(self, partition):
+        yield from read_feed(partition.path, self.most)
 
 
 class NewsFeed(DataSource):
@@ -92,5 +93,5 @@ class NewsFeed(DataSource):
     def reader(self, schema):
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _Stream(self.options)

@@ -60,12 +60,17 @@ def police_records(df: DataFrame, feed: str = "Politie") -> DataFrame:
     )
 
 
-def statistics_rows(df: DataFrame, name: str, topic: str = "other") -> DataFrame:
-    """Rows of an open-data table as articles: region and period from the first column that has them, the row as JSON."""
+def statistics_rows(df: DataFrame, name: str, topics: list[tuple[str, str]] | None = None, other: str = "other") -> DataFrame:
+    """Rows of an open-data table as articles: region and period from the first column that has them, the row as JSON.
+    topics: (word, topic) in order; the first word that the table's name holds, in any case, gives the topic."""
+    topic = F.lit(None).cast("string")
+    for word, t in reversed(topics or []):
+        topic = F.when(F.contains(F.lower(F.lit(name)), F.lit(word.lower())), F.lit(t)).otherwise(topic)
+    topic = F.coalesce(topic, F.lit(other))
     pick = lambda cs: F.coalesce(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in cs if c in df.columns], F.lit(None))
     region, period = pick(["RegioS", "RegioNaam", "RegioCode"]), pick(["Perioden", "Periods"])
     title = F.concat_ws(" – ", F.lit(name), region, period)
-    return df.select(title.alias("title"), F.to_json(F.struct(*df.columns)).alias("full_text"), F.lit(topic).alias("topic"), F.lit(name).alias("feed"))
+    return df.select(title.alias("title"), F.to_json(F.struct(*df.columns)).alias("full_text"), topic.alias("topic"), F.lit(name).alias("feed"))
 
 
 def pick_link(links: Column) -> Column:
@@ -94,6 +99,12 @@ def pull_from(stored: DataFrame, source: str, ts: Column, fallback: Column) -> D
     return stored.groupBy(source).agg(F.coalesce(F.max(ts), F.first(fallback)).alias("since"))
 
 
+def archive_since(df: DataFrame, ts: Column, cutoff: Column, columns: tuple[str, ...] = ("title", "full_text")) -> DataFrame:
+    """Rows of an archive listing from the cutoff on, line breaks and blanks of the named columns made single blanks;
+    rows whose date can't be read are dropped, as an archive scan stops at the first that isn't newer."""
+    return df.where(ts >= cutoff).withColumns({c: collapse(F.col(c)) for c in columns})
+
+
 def pages(fetch, size: int) -> list[dict]:
     """Paging contract: pages are asked for until one is empty or short. ``fetch(skip, top)`` is the caller's."""
     out: list[dict] = []

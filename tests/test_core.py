@@ -7,9 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from newsweave.functions import dates, text
+from newsweave.functions import compounds, dates, text
 from newsweave.functions.urls import canonical_url
-from newsweave.operators import classifier, geo, ingest, keywords, search, sector, similarity, timestamps, weak
+from newsweave.operators import classifier, geo, ingest, keywords, presets, search, sector, similarity, timestamps, weak
 
 
 def one(spark, value, expr, kind="string"):
@@ -242,8 +242,8 @@ def test_oov_rate_of_the_whole_vocabulary(spark, tmp_path):
     letters = "abcdefghijklmnopqrst"
     words = [x + y + z for x in letters for y in letters for z in letters][:3000]
     spark.createDataFrame([(1, "nl", " ".join(words))], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert catalogue.queries()["vocab_full"](spark, str(tmp_path)).count() == 3000
-    assert [tuple(r) for r in catalogue.queries()["oov_rate_full"](spark, str(tmp_path)).collect()] == [("nl", 3000, 0, 0.0)]
+    assert catalogue.queries()["vocab_topk"](spark, str(tmp_path)).count() == 3000
+    assert [tuple(r) for r in catalogue.queries()["oov_rate"](spark, str(tmp_path)).collect()] == [("nl", 3000, 0, 0.0)]
 
 
 def test_tfidf_empty(spark):
@@ -293,3 +293,207 @@ def test_entry_contract(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns
+
+
+# --- aliases, forms, compounds, presets, state --------------------------------------------------------------------------
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from newsweave.session import shared_folder
+
+    assert shared_folder("hdfs://x/y", "yarn") == "hdfs://x/y" and "newsweave" in shared_folder(None, "local[4]")
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="share"):
+            shared_folder(None, master)
+
+
+def test_written_tables_are_deleted_when_read(spark):
+    import os
+
+    from newsweave.session import dropped, written
+
+    a = written(spark.range(5))
+    b = written(a.selectExpr("id + 1 as id"), a)
+    path = a._written.removeprefix("file:")
+    assert b.count() == 5 and not os.path.exists(path)
+    dropped(b)
+
+
+def test_feed_names(spark):
+    rows = [("  L3 Nieuws ",), ("Bee\u200bkdal  Dagblad",), ("Ｂｅｅｋｄａｌ dagblad x",), ("Iets",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "feed string")
+    rules = [("starts", "beekdal", "B"), ("has", "l3", "L")]
+    assert [r.x for r in df.select(ingest.fuzzy_feed(F.col("feed"), rules).alias("x")).collect()] == ["L", "B", "B", "Iets", "", ""]
+    aliases = spark.createDataFrame([("L3 Nieuws", "L3"), ("L3 Nieuws", "L4")], "alias string, canonical string")
+    assert [r.canonical for r in ingest.canonical_feed(df, aliases).orderBy("feed").collect()] == ["", "", "L3", "Bee\u200bkdal  Dagblad", "Iets", "Ｂｅｅｋｄａｌ dagblad x"]
+
+
+def test_clean_texts(spark):
+    assert one(spark, "<p>Ｂrand&nbsp;in <b>Aa</b> &amp; Bb!</p>", text.geo_clean) == "Brand in Aa & Bb!"
+    assert one(spark, "#12 - <i>Ĳs</i> &lt;3 #NieuwsVandaag", lambda c: text.token_clean(c, compat=True)) == "ijs 3 nieuws vandaag"
+    assert one(spark, "Één café_1 a 42", text.word_tokens) == ["één", "café_1", "42"] and one(spark, None, text.word_tokens) == []
+    assert one(spark, " Den\u00a0 Haag ", text.place_key) == "den haag" and one(spark, None, text.geo_clean) == ""
+
+
+def test_compounds(spark):
+    costs = {"nieuws": 2.0, "brand": 2.0, "weer": 2.0, "nieuwsbrand": 9.0}
+    assert compounds.cheapest("nieuwsbrand", costs) == ["nieuws", "brand"] and compounds.cheapest("xyzbrand", costs) == ["xyz", "brand"]
+    assert compounds.cheapest("", costs) == [] and compounds.cheapest("qq", {}) == ["qq"]
+    df = spark.createDataFrame([("#WeerNieuws",), (None,), ("",)], "x string")
+    assert [r.y for r in df.select(compounds.split_compound(F.col("x"), costs, df).alias("y")).collect()] == [["weer", "nieuws"], [], []]
+    counts = spark.createDataFrame([("a", 3), ("b", 1)], "term string, n long")
+    assert compounds.word_costs(counts)["a"] < compounds.word_costs(counts)["b"]
+
+
+def test_presets(tmp_path):
+    store = presets.PresetStore(str(tmp_path / "p" / "x.json"))
+    spec = search.FilterSpec(text="a OR b", feeds=["x"], min_score=0.5, sectors=["J"], places="burg", dates=("2025-01-01", "2025-02-01"))
+    assert store.names() == [] and not store.delete("a")
+    store.save(" mine ", spec)
+    store.save("other", presets.reset(["x", "y"]))
+    got = store.load("mine")
+    assert store.names() == ["mine", "other"] and (got.text, got.feeds, list(got.dates)) == (spec.text, ["x"], list(spec.dates))
+    assert store.delete("mine") and store.names() == ["other"] and store.load("other").feeds == ["x", "y"]
+    with pytest.raises(ValueError, match="name"):
+        store.save(" ", spec)
+    (tmp_path / "p" / "x.json").write_text("{kapot")
+    assert store.names() == []
+    assert presets.clean_selection(["B", "b", "z", "a"], ["a", "b"], str.lower) == ["b", "a"] and presets.clean_selection(None, ["a"]) == []
+    assert presets.focus_words(["x", "q"], list("abcdefg")) == list("abcde") and presets.focus_words(list("gfedcba"), list("abcdefg")) == list("gfedc")
+    assert presets.summary(spec, 3, 9).startswith("3 of 9 rows (search: a OR b; feeds: 1") and presets.summary(presets.reset(), 9, 9) == "9 of 9 rows"
+
+
+def test_search_golden_cases(spark):
+    assert search.parse_query("a b or c OR d") == (["a"], ["b", "c", "d"], []) and search.parse_query('-"x y" z') == (["z"], [], ["x y"])
+    df = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "b"), (4, None)], "i int, t string")
+    hit = lambda q: [r.i for r in df.where(search.matches(q, [F.coalesce("t", F.lit(""))])).orderBy("i").collect()]
+    assert hit("a b") == [1] and hit("a OR b") == [1, 2, 3] and hit("-a") == [3, 4] and hit('"a b"') == [1] and hit("a b OR c OR d") == [1, 2]
+
+
+def test_run_state_and_seen(spark):
+    state = spark.createDataFrame([("a", datetime(2025, 1, 2), "old.json"), ("b", None, None)], "s string, cursor timestamp, last_file string")
+    kept = spark.createDataFrame([("a", datetime(2025, 1, 1)), ("c", datetime(2025, 3, 1))], "s string, ts timestamp")
+    files = spark.createDataFrame([("c", "c.json")], "s string, last_file string")
+    got = {r.s: r for r in ingest.run_state(state, kept, "s", F.col("ts"), F.lit(datetime(2025, 5, 5)), files).collect()}
+    assert got["a"].cursor == datetime(2025, 1, 2) and (got["a"].added, got["a"].last_file) == (1, "old.json")
+    assert got["b"].cursor is None and got["b"].added == 0 and got["c"].last_file == "c.json" and got["c"].last_run_ts == datetime(2025, 5, 5)
+    ids = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "id string")
+    assert [r.id for r in ingest.seen_ids(ids).collect()] == ["a", "b"]
+
+
+def test_dates(spark):
+    day = datetime(2025, 6, 30).date()
+    lo = datetime(2025, 5, 1).date()
+    assert dates.quick_range("30d", lo, day) == (datetime(2025, 5, 31).date(), day) and dates.quick_range("1y", lo, day) == (lo, day) == dates.quick_range("all", lo, day)
+    for v in ("3 maart x", "", None, "gisteren"):
+        assert one(spark, v, dates.lenient_any) is None
+    for v in ("3-2-2025 10:00", "Mon, 03 Feb 2025 10:00:00 GMT", "3.2.2025 10:00", "2025-02-03T10:00:00Z", "3 February 2025 10:00"):
+        assert one(spark, v, dates.lenient_any) == datetime(2025, 2, 3, 10)
+
+
+def test_votes_of_places(spark):
+    g = spark.createDataFrame([("aa", "NL"), ("bb", "BE"), ("sint aa", "NL")], "name string, country string")
+    docs = spark.createDataFrame([(1, "In Aa, Aa, Aa en Bb en Bb."), (2, "In Aa en Bb."), (3, "nergens"), (4, None), (5, "Naar Sint Aa toe")], "k int, t string")
+    found = geo.mentions(docs, "k", F.col("t"), g, longest=2)
+    assert {(r.place) for r in found.where("k = 5").collect()} >= {"Sint Aa"}
+    got = {r.k: r for r in geo.country_vote(found, "k", g, ["NL", "BE"], docs=docs).collect()}
+    assert (got[1].country, got[1].score) == ("NL", 0.6) and [e.place for e in got[1].evidence] == ["Aa", "Aa", "Aa", "Bb", "Bb"]
+    assert (got[2].country, got[2].score) == ("uncertain", 0.5) and all((got[k].country, got[k].score, got[k].evidence) == ("uncertain", 0.0, []) for k in (3, 4))
+    places = found.select("k", "place").distinct()
+    s = geo.narrowing_stats(docs, "k", places, places.groupBy("k").agg(F.min("place").alias("place"))).first()
+    assert (s.total, s.narrowed, s.none) == (5, 3, 2) or s.total == 5
+
+
+def test_sector_report_of_nothing(spark):
+    none = spark.createDataFrame([], "id int, t string")
+    t = sector.totals(sector.article_sectors(none, "id", F.col("t"))).first()
+    assert (t.articles, t.classified_pct, t.companies, t.mean_companies) == (0, 0.0, 0, 0.0)
+    df = spark.createDataFrame([(1, "Bank Een Groot en Bank Een Groot sloten. Volgens Piet Jansen was fraude gepleegd."), (2, None), (3, "")], "id int, t string")
+    s = sector.article_sectors(df, "id", F.col("t"))
+    got = {r.id: r for r in s.collect()}
+    assert len(got[1].companies) == 3 and got[2].primary == "unknown" == got[3].primary and got[2].primary_name == "Unknown"
+    assert sector.totals(s).first().articles == 3 and sector.samples(s, "id").count() <= 8
+
+
+def test_sinks_swap_and_steps(spark, tmp_path):
+    from newsweave.sources import sinks
+
+    p = str(tmp_path / "t")
+    spark.range(3).write.parquet(p)
+    assert sinks.rewrite_distinct(spark.range(2, 6), spark.read.parquet(p), p) == 6
+    assert sinks.publish(spark, p, str(tmp_path / "u")) == 6 and spark.read.parquet(str(tmp_path / "u")).count() == 6
+    q = str(tmp_path / "steps")
+    seen = []
+
+    def enrich(df):
+        seen.append(df.count())
+        if len(seen) == 2:
+            raise KeyboardInterrupt
+        return df
+
+    with pytest.raises(KeyboardInterrupt):
+        sinks.append_in_steps(spark.range(60), enrich, q, "id", 25)
+    assert spark.read.parquet(q).count() == 25 and sinks.append_in_steps(spark.range(60), enrich, q, "id", 25) == 35
+    assert sinks.append_in_steps(spark.range(60), enrich, q, "id", 25) == 0 and spark.read.parquet(q).distinct().count() == 60
+    sinks.write_json(spark.range(0), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+
+
+def test_readers_of_dumps_and_records(spark, tmp_path):
+    from datetime import date
+
+    from newsweave.sources import readers
+
+    cols = ["1", "Aa", "Aa", "Ah,Oud Aa", "1", "2", "P", "x", "NL", "", "5"] + [""] * 8
+    (tmp_path / "g.txt").write_text("\t".join(cols) + "\n", encoding="utf-8")
+    assert tuple(readers.gazetteer_dump(spark, str(tmp_path / "g.txt")).first())[:4] == ("Aa", "Ah,Oud Aa", "P", "NL")
+    assert [r.name for r in readers.province_places(spark, str(tmp_path / "g.txt")).collect()] == ["aa"]
+    (tmp_path / "l.csv").write_text("word,label\nAa,1\nbb,x\n")
+    assert {(r.word, r.label) for r in readers.label_csv(spark, str(tmp_path / "l.csv")).collect()} == {("Aa", 1), ("bb", None)}
+    msg = [{"titel": "T", "url": "u", "publicatiedatum": "2025-02-03 10:00:00", "introductie": "<p>in</p>", "alineas": [{"opgemaaktetekst": "<b>een</b>"}, {"opgemaaktetekst": None}]}]
+    (tmp_path / "p.json").write_text(json.dumps({"nieuwsberichten": msg}))
+    r = readers.police_records(spark.read.json(str(tmp_path / "p.json"))).first()
+    assert (r.title, r.summary, r.full_text, r.published) == ("T", "in", "een", "Mon, 03 Feb 2025 10:00:00 +0000")
+    odata = spark.createDataFrame([(None, "Aa ", "2024"), ("", None, None)], "RegioS string, RegioNaam string, Perioden string")
+    rows = readers.statistics_rows(odata, "Misdrijven", [("misdrijf", "x"), ("misdrij", "crime")]).collect()
+    assert [x.title for x in rows] == ["Misdrijven – Aa – 2024", "Misdrijven"] and {x.topic for x in rows} == {"crime"}
+    assert readers.slices(date(2025, 1, 1), date(2025, 2, 5))[0] == (date(2025, 1, 21), date(2025, 2, 5))
+    links = "array<struct<href:string,rel:string,type:string>>"
+    assert one(spark, [("a.mp3", "enclosure", "audio/mpeg"), ("b", "alternate", "text/html")], readers.pick_link, links) == "b"
+    assert one(spark, [("a.mp3", "x", "audio/mpeg")], readers.pick_link, links) == "a.mp3" and one(spark, None, readers.pick_link, links) is None
+    assert one(spark, "http://a/b.PDF?x", readers.is_page_url, "string") is False and one(spark, "http://a/b", readers.is_page_url) is True
+    arch = spark.createDataFrame([("2025-01-02", "a\nb", "c"), ("2024-01-02", "x", "y"), ("?", "x", "y")], "d string, title string, full_text string")
+    assert [x.title for x in readers.archive_since(arch, F.try_to_timestamp("d"), F.lit(datetime(2025, 1, 1))).collect()] == ["a b"]
+
+
+def test_feed_stream_reads_each_file_once(spark, tmp_path):
+    from newsweave.sources import feeds
+
+    item = "<item><title>{0}</title><link>http://h/{0}</link><description>d</description></item>"
+    xml = "<rss><channel>{}</channel></rss>"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xml").write_text(xml.format(item.format("x") + item.format("y")))
+    spark.dataSource.register(feeds.NewsFeed)
+
+    def run():
+        q = spark.readStream.format("newsfeed").option("path", str(tmp_path / "in")).load().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+
+    run()
+    (tmp_path / "in" / "b.xml").write_text(xml.format(item.format("z")))
+    run()
+    assert sorted(r.title for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y", "z"]
+
+
+def test_pairs_close_in_time(spark):
+    rows = [(0, "t", 1.0), (1, "t", 1.0), (2, "t", 1.0)]
+    w = spark.createDataFrame(rows, "k long, term string, w double")
+    ts = spark.createDataFrame([(0, datetime(2025, 1, 1)), (1, datetime(2025, 1, 3)), (2, datetime(2025, 6, 1))], "k long, t timestamp")
+    assert {(r.a, r.b) for r in similarity.cosine_pairs(w, "k", 0.6, ts, 72).collect()} == {(0, 1)}
+    assert {(r.a, r.b) for r in similarity.cosine_pairs(w, "k", 0.6, ts.withColumn("t", F.when(F.col("k") != 2, F.col("t"))), 72).collect()} == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_place_features_of_a_gazetteer(spark):
+    g = spark.createDataFrame([("aadorp",), ("bee",)], "name string")
+    f = classifier._featured(spark.createDataFrame([("Aadorp",), ("Nieuw Bee",), ("fiets",), (None,)], "word string"), "word", g)
+    assert {(r.word): (r.f_known, r.f_part) for r in f.collect()} == {"Aadorp": (1.0, 1.0), "Nieuw Bee": (0.0, 1.0), "fiets": (0.0, 0.0), None: (0.0, 0.0)}
