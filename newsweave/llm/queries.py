@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsweave.llm import abuse, boilerplate, history, leaks, lookalikes, markup, mixture, nearcopies, subjects
+from newsweave.llm import abuse, boilerplate, history, leaks, lookalikes, markup, mixture, nearcopies, oracle, subjects
 from newsweave.session import spread, table, written
 
 FIELDS = ["summary", "full_text"]
@@ -66,6 +66,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per item: the documents that give it away."""
+    found = leaks.leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
+    per = found.groupBy(F.col("item").alias("item_id")).agg(F.count(F.lit(1)).alias("docs"))
+    items = table(spark, d, "eval_items").select("item_id", "suite")
+    return items.join(per, "item_id", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
+
+
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Per item: documents that give it away, and the largest part of it that one document covers."""
     found = leaks.leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
     per = found.groupBy(F.col("item").alias("item_id")).agg(F.count(F.lit(1)).alias("docs"), F.round(F.max(F.col("covered") / F.col("item_words")), 4).alias("most_covered"))
@@ -128,11 +136,11 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     fs = [
         p1_found, p1_accepted, p2_found, p2_main_content, p3_found, p3_style_tree, p3_clean, p5_found, p5_groups,
-        p6_found, p6_corpus, p6_seeds, p7_found, p7_consistent, p8_found, p8_items, p9_mix, p9_shares, p9_exact, p10_found, p10_scores,
+        p6_found, p6_corpus, p6_seeds, p7_found, p7_consistent, p8_found, p8_items, p8_coverage, p9_mix, p9_shares, p9_exact, p10_found, p10_scores,
         p10_sources,
     ]
     return {f.__name__: f for f in fs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
