@@ -413,3 +413,48 @@ def test_abuse_on_held_out_documents(spark):
     rates = {r.source: r for r in abuse.source_rates(scored).collect()}
     assert rates["s"].docs == 241 and rates[None].docs == 1 and rates["s"].hate_rate == 0
     scored.unpersist()
+
+
+def test_pairs_of_terms_say_what_single_terms_cannot():
+    """An insult beside a group is hate, two insults or two groups aren't: no sum of single weights can say that."""
+    import numpy as np
+
+    ins, grp, other = [f"ins{i}" for i in range(4)], [f"grp{i}" for i in range(4)], [f"w{i}" for i in range(20)]
+    rnd = random.Random(3)
+    sents, y = [], []
+    for _ in range(600):
+        kind = rnd.randrange(3)
+        pair = [rnd.choice(ins), rnd.choice(grp)] if kind == 0 else rnd.sample(ins, 2) if kind == 1 else rnd.sample(grp, 2)
+        sents.append([*pair, rnd.choice(other), rnd.choice(other)])
+        y.append(float(kind == 0))
+    ids, start, length = abuse._flat(sents)
+    y = np.array(y)
+    machine = abuse.Machine()
+    machine.fit(ids, start, length, y, np.ones(len(y)), 300)
+    right = lambda m: (((m.raw(ids, start, length) > 0) == (y > 0)).mean())
+    assert right(machine) >= 0.95
+    machine.v[:] = 0
+    assert right(machine) < 0.9
+
+
+def test_hate_and_sexual_on_held_out_documents(spark):
+    rnd = random.Random(9)
+    news = ["De gemeente wil duidelijkheid over {w}.", "Het museum toont {w} uit de collectie.", "Ook {w} kreeg te maken met de file."]
+    bad = {"hate": ["Alle {g} zijn ongedierte en moeten weg.", "Die {g} zijn ongedierte, stuk voor stuk."], "sexual": ["Ik wil je n@@kt op mijn bed zien.", "Ze lag naakt en hijgend op zijn bed."]}
+    docs, labels = [], []
+    for i in range(360):
+        ws = [rnd.choice(news).format(w=rnd.choice(WORDS)) for _ in range(5)]
+        cat = {0: "hate", 1: "sexual"}.get(i % 6)
+        if cat:
+            ws[rnd.randrange(5)] = rnd.choice(bad[cat]).format(g=rnd.choice(["dorpelingen", "boeren", "fietsers"]))
+        elif i % 6 == 2:
+            ws[rnd.randrange(5)] = f"De {rnd.choice(['dorpelingen', 'boeren', 'fietsers'])} vierden feest op het plein."
+        docs.append((i, " ".join(ws), "s", cat))
+        if i < 180:
+            labels.append((i, cat or "none"))
+    df = spark.createDataFrame([d[:3] for d in docs], "doc_id long, text string, source string")
+    lab = spark.createDataFrame(labels, "doc_id long, category string")
+    got = {(r.doc_id, r.category) for r in abuse.flagged(abuse.scores(df, abuse.train(*abuse.labelled(df, lab)), keep=("source",))).collect()}
+    for cat in ("hate", "sexual"):
+        held = [d for d in docs if d[0] >= 180]
+        assert sum(((d[0], cat) in got) == (d[3] == cat) for d in held) >= 0.95 * len(held)
