@@ -154,13 +154,15 @@ def segments(rows: DataFrame, by: str, order: Order) -> DataFrame:
     return rows.select(F.col(by).alias("text"), "codes").mapInPandas(run, SEGMENTS)
 
 
-def _met(left: DataFrame, right: DataFrame, different: Column, t: float) -> DataFrame:
-    """(a, b): texts of the joined sides whose common units are long enough."""
-    a = left.select("key", F.col("text").alias("a"), F.col("n").alias("na"), "unit", F.col("size").alias("sa"))
-    b = right.select("key", F.col("text").alias("b"), F.col("n").alias("nb"), F.col("unit").alias("ub"), F.col("size").alias("sb"))
-    sizes = F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-6
-    units = F.abs(F.col("sa") - F.col("sb")) <= 1
-    met = a.join(b, "key").where(different & sizes & units).select("a", "b", "unit", "ub", "sa", F.greatest("na", "nb").alias("n"))
+def _met(left: DataFrame, right: DataFrame, ordered: bool, t: float) -> DataFrame:
+    """(a, b): texts of the joined sides whose common units are long enough; ordered: only a < b. The columns keep their
+    names up to the join: the sides of a self-join are one plan then, and share a shuffle."""
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    different = l("text") < r("text") if ordered else l("text") != r("text")
+    sizes = F.least(l("n"), r("n")) >= t * F.greatest(l("n"), r("n")) - 1e-6
+    units = F.abs(l("size") - r("size")) <= 1
+    met = left.alias("l").join(right.alias("r"), l("key") == r("key")).where(different & sizes & units)
+    met = met.select(l("text").alias("a"), r("text").alias("b"), l("unit").alias("unit"), r("unit").alias("ub"), l("size").alias("sa"), F.greatest(l("n"), r("n")).alias("n"))
     # by both units, so that both sides of a self-join need the same columns and read one shuffle
     each = met.repartition("a", "b").groupBy("a", "b", "unit", "ub").agg(F.max("sa").alias("sa"), F.max("n").alias("n"))
     whole = each.groupBy("a", "b").agg(F.sum("sa").alias("s"), F.max("n").alias("n"))
@@ -169,12 +171,12 @@ def _met(left: DataFrame, right: DataFrame, different: Column, t: float) -> Data
 
 def within_one(each: DataFrame, t: float) -> DataFrame:
     """(a, b), a < b: all pairs of texts of one table of segments that meet."""
-    return _met(each, each, F.col("a") < F.col("b"), t)
+    return _met(each, each, True, t)
 
 
 def between(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
     """(a, b), a <> b: all pairs of two tables of segments that meet."""
-    return _met(left, right, F.col("a") != F.col("b"), t)
+    return _met(left, right, False, t)
 
 
 def stored(order: Order, spark) -> DataFrame:
