@@ -32,17 +32,23 @@ NOT_AFFECTED = ("volgens", "aldus", "onderzoekt", "waarschuwt", "adviseert", "me
 FIRST_CHARS = 5000
 
 
-def score_columns(text: Column, lexicon=LEXICON) -> list[Column]:
-    low = F.lower(or_empty(text))
+def score_columns(text: Column, lexicon=LEXICON, lowered: bool = False) -> list[Column]:
+    low = text if lowered else F.lower(or_empty(text))
     return [sum((F.contains(low, F.lit(k)).cast("int") for k in ks[1:]), F.contains(low, F.lit(ks[0])).cast("int")).alias(f"s_{code}") for code, _, ks in lexicon]
 
 
-def best_sector(text: Column, lexicon=LEXICON) -> Column:
+def _scored(text: Column, lexicon, lowered: bool) -> Column:
+    """The best of (score, order, code, name), null if none has a keyword."""
+    scored = zip(score_columns(text, lexicon, lowered), lexicon)
+    top = F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("o"), F.lit(c).alias("code"), F.lit(n).alias("name")) for i, (s, (c, n, _)) in enumerate(scored)]))
+    return F.get(F.filter(F.array(top), lambda x: x["score"] > 0), F.lit(0))
+
+
+def best_sector(text: Column, lexicon=LEXICON, lowered: bool = False) -> Column:
     """(code, name, score) of the best sector. One pass over constants: no join and no row per keyword."""
-    scored = F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("o"), F.lit(c).alias("code"), F.lit(n).alias("name")) for i, (s, (c, n, _)) in enumerate(zip(score_columns(text, lexicon), lexicon))])
-    top = F.array_max(scored)
-    none = F.struct(F.lit("unknown").alias("code"), F.lit("Unknown").alias("name"), F.lit(0).alias("score"))
-    return F.when(top["score"] > 0, F.struct(top["code"].alias("code"), top["name"].alias("name"), top["score"].alias("score"))).otherwise(none)
+    none = F.struct(F.lit(0).alias("score"), F.lit(0).alias("o"), F.lit("unknown").alias("code"), F.lit("Unknown").alias("name"))
+    out = F.transform(F.array(F.coalesce(_scored(text, lexicon, lowered), none)), lambda x: F.struct(x["code"].alias("code"), x["name"].alias("name"), x["score"].alias("score")))
+    return F.get(out, F.lit(0))
 
 
 def organisations(text: Column, most_chars: int | None = None) -> Column:
@@ -52,38 +58,42 @@ def organisations(text: Column, most_chars: int | None = None) -> Column:
     return F.filter(runs, lambda x: F.length(x) > 2)
 
 
+def around(low: Column, name: Column, reach: int = 50) -> Column:
+    """``reach`` characters of a lower-cased text on either side of the first mention of a name; '' without a mention."""
+    pos = F.call_function("locate", F.lower(name), low)
+    return F.when(pos > 0, F.substring(low, F.greatest(pos - reach, F.lit(1)), F.least(pos - 1, F.lit(reach)) + F.length(name) + reach)).otherwise("")
+
+
 def is_affected(text: Column, name: Column, cues: tuple[str, ...] = NOT_AFFECTED, reach: int = 50) -> Column:
     """False if a cue stands within ``reach`` characters of the first mention, else true."""
-    low = F.lower(or_empty(text))
-    pos = F.call_function("locate", F.lower(name), low)
-    window = F.substring(low, F.greatest(pos - reach, F.lit(1)), F.least(pos - 1, F.lit(reach)) + F.length(name) + reach)
-    hit = F.lit(False)
-    for c in cues:
-        hit |= F.contains(window, F.lit(c))
-    return ~((pos > 0) & hit)
+    return ~around(F.lower(or_empty(text)), name, reach).rlike("|".join(cues))
+
+
+def _once(df: DataFrame, key: str, *columns) -> DataFrame:
+    """The columns worked out once a row: projections over a generated row aren't folded into one another, so long
+    expressions aren't repeated wherever they are used."""
+    return df.select(key, F.inline(F.array(F.struct(*columns))))
 
 
 def article_sectors(df: DataFrame, key: str, text: Column, most: int = 10, lexicon=LEXICON, found: Column | None = None) -> DataFrame:
     """(key, primary, primary_name, sectors, companies), to be joined to the articles: each company with its sector or ``not_affected``; the primary sector is the
     most frequent one that isn't unknown, the first seen on ties; without companies it is the article's own. found: names by another recogniser."""
-    best = best_sector(text, lexicon)
     names = organisations(text, FIRST_CHARS) if found is None else found
-    base = df.select(key, text.alias("_t"), best.alias("_b"), F.slice(names, 1, most).alias("_c"))
-    comp = F.transform(
-        "_c",
-        lambda c: F.struct(
-            c.alias("company_name"),
-            F.when(is_affected(F.col("_t"), c), F.col("_b.code")).otherwise("not_affected").alias("sector_code"),
-            F.when(is_affected(F.col("_t"), c), F.col("_b.name")).otherwise("Not affected").alias("sector_name"),
-            is_affected(F.col("_t"), c).alias("is_victim"),
-        ),
-    )
-    base = base.withColumn("companies", comp)
+    base = _once(df, key, F.lower(or_empty(text)).alias("low"), F.slice(names, 1, most).alias("c"))
+    base = _once(base, key, best_sector(F.col("low"), lexicon, lowered=True).alias("b"), "c", F.transform("c", lambda c: around(F.col("low"), c)).alias("w"))
+
+    def company(c: Column, affected: Column) -> Column:
+        code = F.when(affected, F.col("b.code")).otherwise("not_affected").alias("sector_code")
+        name = F.when(affected, F.col("b.name")).otherwise("Not affected").alias("sector_name")
+        return F.struct(c.alias("company_name"), code, name, affected.alias("is_victim"))
+
+    base = _once(base, key, "b", "c", F.transform("w", lambda w: ~w.rlike("|".join(NOT_AFFECTED))).alias("a"))
+    base = _once(base, key, "b", F.zip_with("c", "a", company).alias("companies"))
     codes = F.transform("companies", lambda x: x["sector_code"])
     known = F.filter(codes, lambda x: x != "unknown")
     counted = F.transform(F.array_distinct(known), lambda x: F.struct(F.size(F.filter(known, lambda y: y == x)).alias("n"), (-F.array_position(known, x)).alias("p"), x.alias("code")))
-    primary = F.when(F.size("companies") == 0, F.col("_b.code")).when(F.size(known) == 0, "unknown").otherwise(F.array_max(counted)["code"])
-    sectors = F.when(F.size("companies") == 0, F.array("_b.code")).otherwise(codes)
+    primary = F.when(F.size("companies") == 0, F.col("b.code")).when(F.size(known) == 0, "unknown").otherwise(F.array_max(counted)["code"])
+    sectors = F.when(F.size("companies") == 0, F.array("b.code")).otherwise(codes)
     named = F.create_map(*[F.lit(x) for c, n, _ in lexicon for x in (c, n)], F.lit("unknown"), F.lit("Unknown"), F.lit("not_affected"), F.lit("Not affected"))
     base = base.withColumn("primary", primary)
     return base.select(key, "primary", named[F.col("primary")].alias("primary_name"), F.array_sort(F.array_distinct(F.filter(sectors, lambda x: x != "unknown"))).alias("sectors"), "companies")
