@@ -74,7 +74,7 @@ def build_index(rows: DataFrame, path: str) -> None:
     rows.select("id", "canonical_url", "body", "codes").write.mode("overwrite").parquet(f"{path}/texts")
     stored = _stored(spark, path, "texts", "id string, canonical_url string, body bigint, codes array<int>")
     classes = _classes(stored, "id")
-    order = overlap.frequent(classes, "body")
+    order = overlap.frequent(classes)
     overlap.stored(order, spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/order")
     overlap.segments(classes, "body", order).write.mode("overwrite").parquet(f"{path}/segments")
 

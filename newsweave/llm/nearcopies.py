@@ -61,7 +61,7 @@ def class_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     their row's key while they meet: ascending numbers, which a shuffle packs better than hashes."""
     name = "key" if dict(rows.dtypes)["key"] in ("tinyint", "smallint", "int", "bigint") else "body"
     classes = _classes(rows).select(F.col(name).cast("bigint").alias("text"), "body", "codes")
-    segments = written(overlap.segments(classes, "text", overlap.frequent(classes, "body")))  # read back, both sides of the join share one shuffle
+    segments = written(overlap.segments(classes, "text", overlap.frequent(classes)))  # read back, both sides of the join share one shuffle
     pairs = written(overlap.within_one(segments, threshold), segments)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("text")).distinct()
     met = written(classes.join(wanted, "text", "left_semi"))

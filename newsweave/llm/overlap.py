@@ -9,7 +9,8 @@ texts only if nearly all of its units do (figures in the README).
 
 No key is left out for being shared by many. A text leaves out its most frequent units only while what it leaves out is
 under ``LEFT_OUT`` of its runs, so units that a third of all texts share are looked at only in texts that consist of
-such units for the most part. What is frequent is counted in a sample of the texts.
+such units for the most part. What is frequent is counted in all texts, in tables of fixed size: words and keys that
+fall into one slot are counted together, which can change the order and what is left out, but drops no text or key.
 """
 
 from __future__ import annotations
@@ -23,16 +24,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsweave.llm.texts import runs, shared
+from newsweave.llm.texts import flat_codes, run_counts, runs, shared
 
-#: Texts in the sample and entries of the tables made from it; a word or key that isn't there counts as rare.
-SAMPLE, TABLE = 20_000, 100_000
+#: Slots that the words and keys of all texts are counted in, and slots that are summed at once.
+WORD_SLOTS, KEY_SLOTS, BLOCK = 1 << 20, 1 << 22, 1 << 14
+#: A word or key is frequent if it stands LEAST times or more, and once in RARE texts; rare words are in no order of
+#: frequency, or words that are new to the history would always come first.
+LEAST, RARE = 3, 6_000
 FIRST, TOGETHER, LEFT_OUT, SHARE = 5, 4, 0.4, 0.1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Order(NamedTuple):
-    """Frequent words and keys of the sample, each sorted, and how many texts have them."""
+    """Slots of frequent words and keys, each sorted, and how often they stand in all texts."""
 
     words: np.ndarray
     word_counts: np.ndarray
@@ -40,6 +44,17 @@ class Order(NamedTuple):
     key_counts: np.ndarray
 
 
+def _slots(of: np.ndarray, slots: int) -> np.ndarray:
+    return of.view("u4") & np.uint32(slots - 1)
+
+
+def _dense(order: Order) -> np.ndarray:
+    """How often the frequent words stand, by slot."""
+    out = np.zeros(WORD_SLOTS, "u8")
+    out[order.words] = order.word_counts
+    return out
+
+
 def _counts(of: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(of), "i8")
@@ -47,18 +62,17 @@ def _counts(of: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray
     return np.where(known[at] == of, counts[at], 0)
 
 
-def unit_keys(codes: list[np.ndarray], order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, the text and the unit of each, and the words of each unit, of many texts at once."""
-    length = np.array([len(c) for c in codes])
-    flat = np.concatenate([np.asarray(c, "i4") for c in codes])
-    text = np.repeat(np.arange(len(codes)), length)
+def unit_keys(codes: list[np.ndarray], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, the text and the unit of each, and the words of each unit, of many texts at once. often: how often frequent
+    words stand, by slot."""
+    flat, text = flat_codes(codes)
     unit = np.concatenate([[0], np.cumsum(flat == 0)[:-1]])
     word = flat != 0
     flat, text, unit = flat[word], text[word], unit[word]
     size = np.bincount(unit)
     u = flat.view("u4").astype("u8")
     with np.errstate(over="ignore"):
-        rank = (_counts(flat, order.words, order.word_counts).astype("u8") << np.uint64(32)) | (u * _MIX >> np.uint64(32))
+        rank = (often[_slots(flat, WORD_SLOTS)] << np.uint64(32)) | (u * _MIX >> np.uint64(32))
     at = np.lexsort((rank, unit))
     unit, rank, u, text = unit[at], rank[at], u[at], text[at]
     new = np.concatenate([[True], (unit[1:] != unit[:-1]) | (rank[1:] != rank[:-1])])
@@ -80,35 +94,42 @@ def unit_keys(codes: list[np.ndarray], order: Order) -> tuple[np.ndarray, np.nda
     return np.concatenate(keys), np.concatenate(texts), np.concatenate(units), size
 
 
-def _census(rows: DataFrame, values) -> tuple[np.ndarray, np.ndarray]:
-    """The TABLE values that most rows of codes have, if several do, and how many; values: of a list of codes, the
-    distinct ones of each row. Counted within a batch first, so that the many rare ones aren't shuffled."""
+def _census(rows: DataFrame, values, slots: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of the values of all rows of codes that stand least times or more, and how often they do; values: those
+    of a list of codes. A partition is counted in a table of fixed size before anything is shuffled."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(slots, "u4")
         for b in batches:
             if len(b):
-                v, n = np.unique(values(list(b["codes"])), return_counts=True)
-                yield pd.DataFrame({"v": v[n > 1], "c": n[n > 1]})
-
-    some = rows.mapInPandas(count, "v int, c bigint").groupBy("v").agg(F.sum("c").alias("c")).where("c > 2")
-    top = some.orderBy(F.desc("c"), "v").limit(TABLE).toPandas()
+                n += np.bincount(_slots(values(list(b["codes"])), slots), minlength=slots).astype("u4")
+        blocks = n.reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1))
+        if len(some):
+            yield pd.DataFrame({"block": some.astype("i4"), "n": [blocks[i].tobytes() for i in some]})
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, n in zip(b["block"], b["n"]):
+                x = np.frombuffer(n, "u4").astype("i8")
+                sums[block] = sums[block] + x if block in sums else x
+        for block, n in sums.items():
+            at = np.flatnonzero(n >= least)
+            yield pd.DataFrame({"v": (at + block * BLOCK).astype("i4"), "c": n[at]})
+
+    parts = rows.select("codes").mapInPandas(count, "block int, n binary").repartition("block")
+    top = parts.mapInPandas(total, "v int, c bigint").toPandas()  # at most as many rows as slots
     at = np.argsort(top["v"].to_numpy("i4"))
     return top["v"].to_numpy("i4")[at], top["c"].to_numpy("i8")[at]
 
 
-def frequent(rows: DataFrame, by: str) -> Order:
-    """The order, from a sample of rows (by, codes)."""
-    step = max(1, rows.count() // SAMPLE)
-    some = rows.where(F.pmod(F.xxhash64(by), F.lit(step)) == 0).select("codes")
-    words = _census(some, lambda cs: np.concatenate([np.unique(c) for c in cs]))
-    none = np.empty(0, "i4"), np.empty(0, "i8")
-    order = Order(*words, *none)
-
-    def keys(cs):
-        k, text, _, _ = unit_keys(cs, order)
-        return np.unique(text.astype("i8") << 32 | k.view("u4")).astype("u4").view("i4") if len(k) else k
-
-    return Order(*words, *_census(some, keys))
+def frequent(rows: DataFrame) -> Order:
+    """The order, counted in all rows (codes)."""
+    least = max(LEAST, rows.count() // RARE)
+    words = _census(rows, lambda cs: (c := flat_codes(cs)[0])[c != 0], WORD_SLOTS, least)
+    often = rows.sparkSession.sparkContext.broadcast(_dense(Order(*words, *words)))  # WORD_SLOTS numbers
+    return Order(*words, *_census(rows, lambda cs: unit_keys(cs, often.value)[0], KEY_SLOTS, least))
 
 
 SEGMENTS = "key int, text bigint, n int, unit int, size int"
@@ -117,23 +138,24 @@ SEGMENTS = "key int, text bigint, n int, unit int, size int"
 def segments(rows: DataFrame, by: str, order: Order) -> DataFrame:
     """SEGMENTS of rows (by, codes): the keys of each text, its number of runs, the key's unit (its place in the text)
     and the unit's words."""
-    table = rows.sparkSession.sparkContext.broadcast(order)  # twice TABLE entries at most
+    table = rows.sparkSession.sparkContext.broadcast(order)  # WORD_SLOTS and KEY_SLOTS entries at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = table.value
+        often = _dense(order)
         for b in batches:
             if not len(b):
                 continue
             codes = list(b["codes"])
-            key, text, unit, size = unit_keys(codes, order)
+            key, text, unit, size = unit_keys(codes, often)
             if not len(key):
                 continue
             of = np.full(len(size), -1)
             of[unit] = text
-            n = np.array([len(runs(c)) for c in codes])
+            n = run_counts(codes)
             kept = np.ones(len(size), bool)
             hot = np.full(len(size), np.iinfo("i8").max)
-            np.minimum.at(hot, unit, _counts(key, order.keys, order.key_counts))
+            np.minimum.at(hot, unit, _counts(_slots(key, KEY_SLOTS), order.keys, order.key_counts))
             some = np.flatnonzero((of >= 0) & (hot > 0))
             if len(some):  # of each text the most frequent units, as long as they are under LEFT_OUT of it
                 some = some[np.lexsort((-hot[some], of[some]))]
@@ -187,7 +209,7 @@ def stored(order: Order, spark) -> DataFrame:
 
 
 def read(table: DataFrame) -> Order:
-    """What ``stored`` wrote; at most twice TABLE rows."""
+    """What ``stored`` wrote; at most WORD_SLOTS and KEY_SLOTS rows."""
     t = table.orderBy("v").toPandas()
     of = lambda kind, c, dtype: t.loc[t["kind"] == kind, c].to_numpy(dtype)
     return Order(of("w", "v", "i4"), of("w", "c", "i8"), of("k", "v", "i4"), of("k", "c", "i8"))

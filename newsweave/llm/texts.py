@@ -89,18 +89,43 @@ def words_of(codes: list[int] | np.ndarray) -> np.ndarray:
     return c[c != 0]
 
 
-def runs(codes: list[int] | np.ndarray) -> np.ndarray:
-    """The distinct runs of three words as sorted 64-bit numbers."""
-    c = words_of(codes).view("u4").astype("u8")
+def _hashes(words: np.ndarray) -> np.ndarray:
+    """The runs of three words as 64-bit numbers, in their order."""
+    c = words.view("u4").astype("u8")
     if len(c) < 3:
         return np.empty(0, "u8")
     with np.errstate(over="ignore"):
         h = (((c[:-2] + np.uint64(1)) * _A) ^ c[1:-1]) * _B
         h = ((h ^ (h >> _C)) + c[2:]) * _A
-    h = np.sort(h ^ (h >> _C))
+    return h ^ (h >> _C)
+
+
+def runs(codes: list[int] | np.ndarray) -> np.ndarray:
+    """The distinct runs of three words as sorted 64-bit numbers."""
+    h = np.sort(_hashes(words_of(codes)))
+    if not len(h):
+        return h
     return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
+def flat_codes(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of many texts one after the other, and the number of the text of each."""
+    return np.concatenate([np.asarray(c, "i4") for c in codes]), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+
+
+def run_counts(codes: list[np.ndarray]) -> np.ndarray:
+    """How many distinct runs of three words each of many texts has."""
+    flat, text = flat_codes(codes)
+    flat, text = flat[flat != 0], text[flat != 0]
+    h = _hashes(flat)
+    whole = text[: len(h)] == text[2:]  # runs that lie in one text
+    h, text = h[whole], text[: len(h)][whole]
+    at = np.lexsort((h, text))
+    h, text = h[at], text[at]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])[: len(h)]
+    return np.bincount(text[new], minlength=len(codes))
+
+
 def body_key(codes: list[int]) -> int:
     """64 bits that stand for the words of a body."""
     h = xxhash.xxh64_intdigest(words_of(codes).tobytes())

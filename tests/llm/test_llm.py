@@ -196,6 +196,15 @@ def test_history_finds_a_text_that_stands_three_times_over(spark):
     assert links(spark, [base], [" ".join([base] * 3)]) == {(0, 0)}
 
 
+def test_history_counts_frequent_words_and_keys_in_all_texts(spark, tmp_path):
+    words = F.array(*[F.lit(i) for i in (11, 12, 13, 14, 15, 16)], F.col("id").cast("int") + 1000, F.lit(0))
+    rows = spark.range(40_000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("http://h/"), "id").alias("canonical_url"), F.col("id").alias("body"), words.alias("codes"))
+    history.build_index(rows, str(tmp_path / "ix"))
+    order = history._order(spark, str(tmp_path / "ix"))
+    assert order.word_counts.tolist() == [40_000] * 6
+    assert order.key_counts.max() >= 40_000
+
+
 # --- pages and markup -------------------------------------------------------------------------------------------------
 
 
