@@ -222,6 +222,20 @@ def test_furniture_lines(spark):
     assert boilerplate.furniture_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("opened", ["```", "```x = 1```", "<pre>", "\\begin{verbatim}", "\\begin{verbatim}x\\end{verbatim}"])
+def test_furniture_behind_code_that_is_never_closed(spark, opened):
+    page = ["De griffier wees maandag een verzoek af in de zaak van de eeuw.", opened, "Lees ook: Brand in Aadorp", "Terug naar boven"]
+    df = spark.createDataFrame([(i, "h", "\n".join(page).replace("maandag", f"dag{i}")) for i in range(6)], "row_id long, feed_key string, full_text string")
+    got = {(r.row_id, page[r.line_no - 1]) for r in boilerplate.furniture_lines(df).collect()}
+    assert got == {(i, x) for i in range(6) for x in ("Lees ook: Brand in Aadorp", "Terug naar boven")}
+
+
+def test_furniture_of_one_line_behind_blanks(spark):
+    text = " " * 160 + "Home | Nieuws | Sport!"
+    df = spark.createDataFrame([(i, "h", text) for i in range(6)], "row_id long, feed_key string, full_text string")
+    assert boilerplate.furniture_lines(df).count() == 6
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
