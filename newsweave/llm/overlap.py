@@ -28,9 +28,9 @@ from newsweave.llm.texts import flat_codes, run_counts, runs, shared
 
 #: Slots that the words and keys of all texts are counted in, and slots that are summed at once.
 WORD_SLOTS, KEY_SLOTS, BLOCK = 1 << 20, 1 << 22, 1 << 14
-#: A word or key is frequent if it stands LEAST times or more, and once in RARE texts; rare words are in no order of
+#: A word or key is frequent if it stands LEAST times or more, and once in RARE or SHARED texts; rare words are in no order of
 #: frequency, or words that are new to the history would always come first.
-LEAST, RARE = 3, 6_000
+LEAST, RARE, SHARED = 3, 6_000, 1_000
 FIRST, TOGETHER, LEFT_OUT, SHARE = 5, 4, 0.4, 0.1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,10 +126,10 @@ def _census(rows: DataFrame, values, slots: int, least: int) -> tuple[np.ndarray
 
 def frequent(rows: DataFrame) -> Order:
     """The order, counted in all rows (codes)."""
-    least = max(LEAST, rows.count() // RARE)
-    words = _census(rows, lambda cs: (c := flat_codes(cs)[0])[c != 0], WORD_SLOTS, least)
+    texts = rows.count()
+    words = _census(rows, lambda cs: (c := flat_codes(cs)[0])[c != 0], WORD_SLOTS, max(LEAST, texts // RARE))
     often = rows.sparkSession.sparkContext.broadcast(_dense(Order(*words, *words)))  # WORD_SLOTS numbers
-    return Order(*words, *_census(rows, lambda cs: unit_keys(cs, often.value)[0], KEY_SLOTS, least))
+    return Order(*words, *_census(rows, lambda cs: unit_keys(cs, often.value)[0], KEY_SLOTS, max(LEAST, texts // SHARED)))
 
 
 SEGMENTS = "key int, text bigint, n int, unit int, size int"

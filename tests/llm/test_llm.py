@@ -75,6 +75,12 @@ def test_near_copies_of_a_story_with_many_versions(spark):
     assert any(a >= 90 for a, _ in want) and pairs_of(spark, bodies) == want
 
 
+def test_near_copies_count_the_words_of_all_texts(spark):
+    words = F.array(*[F.lit(i) for i in range(11, 17)], F.col("id").cast("int") + 1000, F.lit(0))
+    order = overlap.frequent(spark.range(40_000).select("id", words.alias("codes")))
+    assert order.word_counts.tolist() == [40_000] * 6 and order.key_counts.max() >= 40_000
+
+
 # --- history ----------------------------------------------------------------------------------------------------------
 
 
