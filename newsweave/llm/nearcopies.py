@@ -29,22 +29,22 @@ THRESHOLD = 0.5
 def encoded(df: DataFrame, key: str, full_text: str = "full_text", summary: str = "summary", host: str = "feed_key") -> DataFrame:
     """(key, body, codes) of each row with three words or more: the class of its body and its words. One pass in Python,
     no shuffle, after a pass that counts the lines of pages."""
-    known_lines = boilerplate.heads(df, key, host, full_text)
+    df, held = boilerplate.marked(df, host, full_text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
-        page = boilerplate.Reader(known_lines.value)
+        page = boilerplate.Reader(held.value)
         for b in batches:
             ids, codes = [], []
-            for i, f, s in zip(b["key"], b["f"], b["s"]):
-                c = texts.encode(texts.body_of(f, s, page), known)
+            for i, f, s, drop in zip(b["key"], b["f"], b["s"], b["_drop"]):
+                c = texts.encode(texts.body_of(f, s, lambda t: page(t, drop)), known)  # noqa: B023
                 if len(c) > 3:
                     ids.append(i), codes.append(c)
             if ids:
                 yield pd.DataFrame({"key": ids, "body": [texts.body_key(c) for c in codes], "codes": codes})
 
     kind = dict(df.dtypes)[key]
-    rows = spread(df.select(F.col(key).alias("key"), F.col(full_text).alias("f"), F.col(summary).alias("s")).where(F.col(key).isNotNull()))
+    rows = spread(df.select(F.col(key).alias("key"), F.col(full_text).alias("f"), F.col(summary).alias("s"), "_drop").where(F.col(key).isNotNull()))
     return rows.mapInPandas(run, f"key {kind}, body bigint, codes array<int>")
 
 

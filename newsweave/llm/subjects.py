@@ -74,17 +74,17 @@ def _fold_title(t: str) -> str:
 
 def readings(df: DataFrame, key: str, title: str, full_text: str, summary: str) -> DataFrame:
     """(key, title terms, terms of each sentence) of each row, in one pass, after one that counts the lines of pages."""
-    known_lines = boilerplate.heads(df, key, "feed_key", full_text)
+    df, held = boilerplate.marked(df, "feed_key", full_text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
-        page = boilerplate.Reader(known_lines.value)
+        page = boilerplate.Reader(held.value)
         for b in batches:
             if not len(b):
                 continue
             heads, bodies = [], []
-            for t, f, s in zip(b["t"], b["f"], b["s"]):
-                own = page(f) if f and f.strip() else None
+            for t, f, s, drop in zip(b["t"], b["f"], b["s"], b["_drop"]):
+                own = page(f, drop) if f and f.strip() else None
                 text = own if own and any(c.isalnum() for c in own) else (s or "")
                 heads.append([x for ss in _terms((t and _fold_title(t)) or "", known) for x in ss])
                 bodies.append(_terms(text, known))
@@ -92,7 +92,7 @@ def readings(df: DataFrame, key: str, title: str, full_text: str, summary: str)
                 known.clear()
             yield pd.DataFrame({"key": b["key"], "head": heads, "sents": bodies})
 
-    rows = df.select(F.col(key).alias("key"), F.col(title).alias("t"), F.col(full_text).alias("f"), F.col(summary).alias("s"))
+    rows = df.select(F.col(key).alias("key"), F.col(title).alias("t"), F.col(full_text).alias("f"), F.col(summary).alias("s"), "_drop")
     return spread(rows).mapInPandas(run, f"key {dict(df.dtypes)[key]}, head array<int>, sents array<array<int>>")
 
 

@@ -236,6 +236,20 @@ def test_furniture_behind_code_that_is_never_closed(spark, opened):
     assert got == {(i, x) for i in range(6) for x in ("Lees ook: Brand in Aadorp", "Terug naar boven")}
 
 
+def test_bodies_leave_out_all_furniture_lines(spark, monkeypatch):
+    rnd = random.Random(9)
+    rare = [f"Lees ook {WORDS[i]} {WORDS[i + 1]}: {WORDS[i + 2]} {WORDS[i + 3]}" for i in range(60)]
+    rows = [(i, "h", f"{sentence(rnd)}\n{rare[i // 3]}\nTerug naar boven", None) for i in range(180)]
+    df = spark.createDataFrame(rows, "row_id long, feed_key string, full_text string, summary string")
+    want = {i: texts.body_key(texts.encode(f.split("\n")[0], {})) for i, _, f, _ in rows}
+    assert boilerplate.furniture_lines(df).count() == 360
+    for name in ("TABLE", "HELD"):  # the table's size, before; now what is more than that is joined
+        monkeypatch.setattr(boilerplate, name, 40, raising=False)
+    assert {r.key: r.body for r in nearcopies.encoded(df, "row_id").collect()} == want
+    monkeypatch.setattr(boilerplate, "HELD", 1000, raising=False)
+    assert {r.key: r.body for r in nearcopies.encoded(df, "row_id").collect()} == want
+
+
 def test_furniture_of_one_line_behind_blanks(spark):
     text = " " * 160 + "Home | Nieuws | Sport!"
     df = spark.createDataFrame([(i, "h", text) for i in range(6)], "row_id long, feed_key string, full_text string")
