@@ -16,6 +16,7 @@ fall into one slot are counted together, which can change the order and what is
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -94,6 +95,17 @@ def unit_keys(codes: list[np.ndarray], often: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate(keys), np.concatenate(texts), np.concatenate(units), size
 
 
+def _packed(n: np.ndarray) -> bytes:
+    """Counts of a block in the fewest bytes each, compressed; most are 0 or 1."""
+    kind = next(k for k in ("u1", "u2", "u4") if n.max() <= np.iinfo(k).max)
+    return zlib.compress(n.astype(kind).tobytes(), 1)
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    raw = zlib.decompress(b)
+    return np.frombuffer(raw, f"u{len(raw) // BLOCK}").astype("i8")
+
+
 def _census(rows: DataFrame, values, slots: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The slots of the values of all rows of codes that stand least times or more, and how often they do; values: those
     of a list of codes. A partition is counted in a table of fixed size before anything is shuffled."""
@@ -106,13 +118,13 @@ def _census(rows: DataFrame, values, slots: int, least: int) -> tuple[np.ndarray
         blocks = n.reshape(-1, BLOCK)
         some = np.flatnonzero(blocks.any(axis=1))
         if len(some):
-            yield pd.DataFrame({"block": some.astype("i4"), "n": [blocks[i].tobytes() for i in some]})
+            yield pd.DataFrame({"block": some.astype("i4"), "n": [_packed(blocks[i]) for i in some]})
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for block, n in zip(b["block"], b["n"]):
-                x = np.frombuffer(n, "u4").astype("i8")
+                x = _unpacked(n)
                 sums[block] = sums[block] + x if block in sums else x
         for block, n in sums.items():
             at = np.flatnonzero(n >= least)
