@@ -50,32 +50,33 @@ def encoded(df: DataFrame, key: str, full_text: str = "full_text", summary: str
 
 def _classes(rows: DataFrame) -> DataFrame:
     """One row of each class. The others are taken out by their keys: where copies are few that is a small table, which
-    Spark broadcasts, and the wide rows aren't shuffled."""
+    Spark broadcasts, and the wide rows aren't shuffled; else they are, so the result is to be written and read back."""
     first = rows.groupBy("body").agg(F.min("key").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("body", "m")
     copies = rows.select("key", "body").join(first, "body").where(F.col("key") != F.col("m")).select("key").distinct()
     return rows.join(copies, "key", "left_anti")
 
 
-def class_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, sim) of the classes whose exact similarity reaches the threshold, each pair once. Classes are named by
-    their row's key while they meet: ascending numbers, which a shuffle packs better than hashes."""
+def members_and_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(key, body) of all rows, and (a, b, sim) of the classes whose exact similarity reaches the threshold, each pair
+    once. rows: a written table, deleted when its classes are written. Classes are named by their row's key while they
+    meet: ascending numbers, which a shuffle packs better than hashes."""
     name = "key" if dict(rows.dtypes)["key"] in ("tinyint", "smallint", "int", "bigint") else "body"
-    classes = _classes(rows).select(F.col(name).cast("bigint").alias("text"), "body", "codes")
+    # several passes read the classes; what they are made from is shuffled once for all of them
+    classes = written(_classes(rows).select(F.col(name).cast("bigint").alias("text"), "body", "codes"))
+    members = written(rows.select("key", "body"), rows)
     segments = written(overlap.segments(classes, "text", overlap.frequent(classes)))  # read back, both sides of the join share one shuffle
     pairs = written(overlap.within_one(segments, threshold), segments)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("text")).distinct()
-    met = written(classes.join(wanted, "text", "left_semi"))
-    side = lambda s: met.select(F.col("text").alias(f"n{s}"), F.col("body").alias(s), F.col("codes").alias(f"c{s}"))
+    side = lambda s: classes.select(F.col("text").alias(f"n{s}"), F.col("body").alias(s), F.col("codes").alias(f"c{s}"))
+    # both sides are one plan and share a shuffle
     both = pairs.toDF("na", "nb").join(side("a"), "na").join(side("b"), "nb")
-    return overlap.verified(both, threshold)
+    return members, overlap.verified(both, threshold)
 
 
 def row_pairs(df: DataFrame, key: str = "row_id", threshold: float = THRESHOLD) -> DataFrame:
     """(row_a, row_b), row_a < row_b: every pair of rows whose bodies reach the threshold. The pairs of classes are
     found first; only here are copies written out, as the result's form asks for."""
-    rows = written(encoded(df, key))
-    links = class_pairs(rows, threshold).select("a", "b")
-    member = rows.select("key", "body")
+    member, pairs = members_and_pairs(written(encoded(df, key)), threshold)
+    links = pairs.select("a", "b")
     far = links.join(member.select(F.col("key").alias("x"), F.col("body").alias("a")), "a").join(member.select(F.col("key").alias("y"), F.col("body").alias("b")), "b").select("x", "y")
     same = member.alias("l").join(member.alias("r"), (F.col("l.body") == F.col("r.body")) & (F.col("l.key") < F.col("r.key"))).select(F.col("l.key").alias("x"), F.col("r.key").alias("y"))
     return far.unionAll(same).select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"))
@@ -84,8 +85,8 @@ def row_pairs(df: DataFrame, key: str = "row_id", threshold: float = THRESHOLD)
 def groups(df: DataFrame, key: str = "row_id", threshold: float = THRESHOLD) -> DataFrame:
     """(key, group_id, class_rows, links): the smallest key of a row's group (rows linked over any number of steps),
     the rows with the same words, and the number of other texts it is linked to. One row per row of df."""
-    rows = written(encoded(df, key))
-    links = written(class_pairs(rows, threshold).select("a", "b"))
+    rows, pairs = members_and_pairs(written(encoded(df, key)), threshold)
+    links = written(pairs.select("a", "b"))
     classes = rows.groupBy("body").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("class_rows"))
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
@@ -102,7 +103,7 @@ def groups(df: DataFrame, key: str = "row_id", threshold: float = THRESHOLD) ->
         label = step.select("body", "rep", "class_rows", "links", F.col("m").alias("g"))
         if not moved:
             break
-    linked = rows.select("key", "body").join(label, "body").select("key", F.col("g").alias("group_id"), "class_rows", "links")
+    linked = rows.join(label, "body").select("key", F.col("g").alias("group_id"), "class_rows", "links")
     all_rows = df.select(F.col(key).alias("key")).where(F.col(key).isNotNull())
     out = all_rows.join(linked, "key", "left")
     return out.select(F.col("key").alias(key), F.coalesce("group_id", "key").alias("group_id"), F.coalesce("class_rows", F.lit(1)).alias("class_rows"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -81,6 +81,29 @@ def test_near_copies_count_the_words_of_all_texts(spark):
     assert order.word_counts.tolist() == [40_000] * 6 and order.key_counts.max() >= 40_000
 
 
+def test_near_copies_shuffle_their_texts_once_for_all_passes(spark):
+    rnd = random.Random(34)
+    bases = [long_story(rnd, 30) for _ in range(100)]
+    bodies = [x for b in bases for x in (b, b, changed(rnd, b))]
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        quantiles, of = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList
+        found = sc._jsc.sc().statusStore().stageList(of(), False, False, quantiles, of())
+        return {x.stageId(): x.shuffleWriteBytes() for x in map(found.apply, range(found.size()))}
+
+    joined = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where there are many copies
+    try:
+        last = max(stages(), default=-1)
+        assert len(pairs_of(spark, bodies)) == 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joined)
+    shuffled = sum(n for stage, n in stages().items() if stage > last)
+    assert 0 < shuffled < 3 * sum(4 * len(texts.encode(b, {})) for b in bodies)
+
+
 # --- history ----------------------------------------------------------------------------------------------------------
 
 
