@@ -599,8 +599,15 @@ def _title_weights(spark, d):
     return keywords.tfidf(kept, "id", t.agg(F.count(F.lit(1)).alias("n")), smooth=True)
 
 
+def _title_vectors(spark, d):
+    t = table(spark, d, "cache_single").select("id", text.word_tokens(text.weighted_text(F.col("title"), F.col("summary"), 3), 2).alias("ws"))
+    return keywords.run_vectors(t, "id", "ws", 3, 1000)
+
+
 def tfidf_title_weights(spark, d):
-    return _title_weights(spark, d).select("id", "term", F.round("w", 6).alias("w"))
+    vectors, terms = _title_vectors(spark, d)
+    each = vectors.select("id", F.explode(F.arrays_zip("t", "w")).alias("x"))
+    return each.select("id", F.element_at(F.array(*map(F.lit, terms)).cast("array<string>"), F.col("x.t") + 1).alias("term"), F.round("x.w", 6).alias("w"))
 
 
 def _edges(spark, d):

@@ -1,6 +1,7 @@
 """Golden cases of the core operators, with nulls, empties, ties, repeats and clashing columns."""
 
 import json
+import random
 from datetime import datetime
 
 import pandas as pd
@@ -497,3 +498,18 @@ def test_place_features_of_a_gazetteer(spark):
     g = spark.createDataFrame([("aadorp",), ("bee",)], "name string")
     f = classifier._featured(spark.createDataFrame([("Aadorp",), ("Nieuw Bee",), ("fiets",), (None,)], "word string"), "word", g)
     assert {(r.word): (r.f_known, r.f_part) for r in f.collect()} == {"Aadorp": (1.0, 1.0), "Nieuw Bee": (0.0, 1.0), "fiets": (0.0, 0.0), None: (0.0, 0.0)}
+
+
+def test_run_vectors_equal_tfidf_of_all_runs(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "b", "c", "d", "e"]), [rng.choice("uvwxyz") + rng.choice("é1") for _ in range(rng.randint(0, 9))]) for _ in range(30)]
+    df = spark.createDataFrame(rows, "id string, ws array<string>").repartition(3)
+    every = df.select("id", F.explode(text.ngrams(F.col("ws"), 1, 3)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    for most in (5, 20, 400):
+        kept = every.join(keywords.vocabulary(every, most).select("term"), "term", "left_semi")
+        want = {(r.id, r.term): r.w for r in keywords.tfidf(kept, "id", df.agg(F.count(F.lit(1)).alias("n")), smooth=True).collect() if r.id}
+        for held in (100, 1):  # one: the words tied with the last don't fit
+            monkeypatch.setattr(keywords, "HELD", held)
+            vectors, terms = keywords.run_vectors(df, "id", "ws", 3, most)
+            got = {(r.id, terms[t]): w for r in vectors.collect() for t, w in zip(r.t, r.w)}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
