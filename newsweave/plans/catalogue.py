@@ -591,14 +591,6 @@ def cosine_all_pairs(spark, d):
     return similarity.all_cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3).withColumn("sim", F.round("sim", 5))
 
 
-def _title_weights(spark, d):
-    t = table(spark, d, "cache_single").select("id", text.ngrams(text.word_tokens(text.weighted_text(F.col("title"), F.col("summary"), 3), 2), 1, 3).alias("g"))
-    counts = t.select("id", F.explode("g").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocab = keywords.vocabulary(counts, 1000).select("term")
-    kept = counts.join(vocab, "term", "left_semi")
-    return keywords.tfidf(kept, "id", t.agg(F.count(F.lit(1)).alias("n")), smooth=True)
-
-
 def _title_vectors(spark, d):
     t = table(spark, d, "cache_single").select("id", text.word_tokens(text.weighted_text(F.col("title"), F.col("summary"), 3), 2).alias("ws"))
     return keywords.run_vectors(t, "id", "ws", 3, 1000)
@@ -610,8 +602,13 @@ def tfidf_title_weights(spark, d):
     return each.select("id", F.element_at(F.array(*map(F.lit, terms)).cast("array<string>"), F.col("x.t") + 1).alias("term"), F.round("x.w", 6).alias("w"))
 
 
+def _duplicates(spark, d):
+    vectors, terms = _title_vectors(spark, d)
+    return similarity.duplicates(_titles(spark, d), "id", "tokens", "entities", written(vectors), len(terms), "ts")
+
+
 def _edges(spark, d):
-    return similarity.duplicate_edges(_titles(spark, d), "id", "tokens", "entities", _title_weights(spark, d), "ts")
+    return similarity.duplicate_edges(*_duplicates(spark, d))
 
 
 def dup_edges(spark, d):

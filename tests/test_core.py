@@ -523,3 +523,35 @@ def test_jaccard_candidates_are_compared_where_they_meet(spark):
     # the items' counts for both sides and the sets that meet; neither candidates nor their sets are joined again
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
     assert {(r.a, r.b) for r in similarity.jaccard_pairs(df, "k", "s", 0.5).collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+def _duplicate_rows(spark):
+    rng = random.Random(8)
+    at = [None, "2025-01-01 00:00:00", "2025-01-03 00:00:00", "2025-01-04 00:00:00", "2025-01-04 00:00:01", "2025-02-01 00:00:00"]
+    rows = [(f"k{i:03}", rng.sample("abcdefgh", rng.randint(0, 5)), rng.sample("PQRSTU", rng.randint(0, 4)), rng.choice(at), [rng.choice("stuvw") * 2 for _ in range(rng.randint(0, 6))]) for i in range(70)]
+    df = spark.createDataFrame(rows, "k string, tt array<string>, e array<string>, at string, ws array<string>").withColumn("ts", F.col("at").cast("timestamp"))
+    vectors, terms = keywords.run_vectors(df, "k", "ws", 3, 40)
+    return df, vectors, terms
+
+
+def _brute_edges(df, vectors):
+    unit = {r.k: dict(zip(r.t, r.w)) for r in vectors.collect()}
+    jac = lambda x, y: len({*x} & {*y}) / len({*x} | {*y}) if x and y else 0.0
+    rows, want = sorted(df.collect(), key=lambda r: r.k), set()
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            c, jt, je = sum(w * unit[y.k].get(t, 0) for t, w in unit[x.k].items()), jac(x.tt, y.tt), jac(x.e, y.e)
+            near = not x.ts or not y.ts or abs((x.ts - y.ts).total_seconds()) <= 72 * 3600
+            if near and (c >= 0.75 or jt >= 0.6 or (je >= 0.5 and c >= 0.65) or (c >= 0.6 and jt >= 0.4 and je >= 0.3)):
+                want.add((x.k, y.k))
+    return want
+
+
+def test_duplicate_edges_by_blocks(spark, monkeypatch):
+    df, vectors, terms = _duplicate_rows(spark)
+    want = _brute_edges(df, vectors)
+    for held, first, second in ((16_384, 192, 512), (20, 3, 7)):
+        for n, v in (("HELD", held), ("FIRST", first), ("SECOND", second)):
+            monkeypatch.setattr(similarity, n, v)
+        got = [(r.a, r.b) for r in similarity.duplicate_edges(*similarity.duplicates(df, "k", "tt", "e", vectors, len(terms), "ts")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
