@@ -607,16 +607,12 @@ def _duplicates(spark, d):
     return similarity.duplicates(_titles(spark, d), "id", "tokens", "entities", written(vectors), len(terms), "ts")
 
 
-def _edges(spark, d):
-    return similarity.duplicate_edges(*_duplicates(spark, d))
-
-
 def dup_edges(spark, d):
-    return _edges(spark, d)
+    return similarity.duplicate_edges(*_duplicates(spark, d))
 
 
 def leader_clusters(spark, d):
-    return similarity.leader_clusters(_titles(spark, d).select("id"), "id", _edges(spark, d))
+    return similarity.duplicate_clusters(*_duplicates(spark, d), "id")
 
 
 def cluster_stats(spark, d):

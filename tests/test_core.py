@@ -555,3 +555,13 @@ def test_duplicate_edges_by_blocks(spark, monkeypatch):
             monkeypatch.setattr(similarity, n, v)
         got = [(r.a, r.b) for r in similarity.duplicate_edges(*similarity.duplicates(df, "k", "tt", "e", vectors, len(terms), "ts")).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_duplicate_clusters_equal_the_scan(spark):
+    df, vectors, terms = _duplicate_rows(spark)
+    leader: dict = {}
+    edges = _brute_edges(df, vectors)
+    for k in sorted(r.k for r in df.select("k").collect()):
+        leader[k] = min((a for a, b in edges if b == k and leader[a] == a), default=k)
+    got = similarity.duplicate_clusters(*similarity.duplicates(df, "k", "tt", "e", vectors, len(terms), "ts"), "k")
+    assert {r.k: r.leader for r in got.collect()} == leader
